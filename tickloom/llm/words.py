@@ -132,37 +132,23 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit values as variable-length gaps (7 bits a byte, low first)."""
+def pack_marked(values: np.ndarray, marks: np.ndarray) -> bytes:
+    """Sorted distinct values and a mark of each: gaps of one byte, larger ones as 255 with 8 bytes or, mostly, 2 aside."""
     gaps = values.copy()
     gaps[1:] -= values[:-1]
-    size = np.ones(len(gaps), np.int64)
-    rest = gaps >> _U(7)
-    while rest.any():
-        size += rest > 0
-        rest >>= _U(7)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    at, left = ends - size, gaps
-    alive = np.arange(len(gaps))
-    while len(alive):
-        low = (left & _U(127)).astype(np.uint8)
-        left = left >> _U(7)
-        more = left > 0
-        out[at] = low | (more.astype(np.uint8) << 7)
-        alive, at, left = alive[more], at[more] + 1, left[more]
-    return out.tobytes()
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8)
-    if not len(raw):
-        return np.empty(0, _U)
-    last = raw < 128
-    group = np.concatenate([[0], np.cumsum(last)[:-1]])
-    ends = np.flatnonzero(last)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    shift = (np.arange(len(raw)) - starts[group]).astype(_U) * _U(7)
-    parts = (raw & 127).astype(_U) << shift
-    gaps = np.add.reduceat(parts, starts)
-    return np.cumsum(gaps, dtype=_U)
+    wide = gaps[gaps >= _U(255)]
+    wider = wide[wide >= _U(65535)]
+    head = np.array([len(gaps), len(wide), len(wider)], "<u8")
+    return b"".join(x.tobytes() for x in (head, np.minimum(gaps, _U(255)).astype("u1"), np.minimum(wide, _U(65535)).astype("<u2"), wider.astype("<u8"), np.packbits(marks)))
+
+
+def unpack_marked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, n_wide, n_wider = np.frombuffer(blob, "<u8", 3).astype(np.int64).tolist()
+    gaps = np.frombuffer(blob, "u1", n, 24).astype(_U)
+    if n_wide:
+        wide = np.frombuffer(blob, "<u2", n_wide, 24 + n).astype(_U)
+        if n_wider:
+            wide[wide == 65535] = np.frombuffer(blob, "<u8", n_wider, 24 + n + 2 * n_wide)
+        gaps[gaps == 255] = wide
+    marks = np.unpackbits(np.frombuffer(blob, "u1", offset=24 + n + 2 * n_wide + 8 * n_wider), count=n).astype(bool)
+    return np.cumsum(gaps, dtype=_U), marks
