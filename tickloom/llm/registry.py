@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.near_duplicates import op2_near_duplicates
 from tickloom.llm.packing import op5_packing
 from tickloom.llm.substring_dedup import op6_substring_dedup
 from tickloom.llm.token_counts import op1_token_counts
@@ -15,7 +16,7 @@ ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_token_files, op5_packing, op6_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_token_files, op5_packing, op6_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
