@@ -222,7 +222,7 @@ def _remove(plan: Plan):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, bucket_bytes: int = 16 << 20, rows: int = 2, room: int = 4, segment_windows: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 13, bucket_bytes: int = 8 << 20, rows: int = 2, room: int = 4, segment_windows: int = 2 << 20) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row: the text without words under repeated windows.
 
     A window is ``size`` consecutive words; it goes where its words also start in a row with a
