@@ -12,12 +12,13 @@ from tickloom.llm.substring_dedup import op6_substring_dedup
 from tickloom.llm.token_counts import op1_token_counts
 from tickloom.llm.token_files import op3_token_files
 from tickloom.llm.top_k import OP9_SQL, op9_top_k
+from tickloom.llm.toxicity import op10_toxicity
 
 ORACLE: dict[str, str] = {"op9_top_k": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_token_files, op5_packing, op6_substring_dedup, op9_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_token_files, op5_packing, op6_substring_dedup, op9_top_k, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

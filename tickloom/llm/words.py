@@ -14,8 +14,11 @@ from tickloom.llm.common import text_buffer
 
 _SLICE = 1 << 18
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters.
+NO_LETTER = np.zeros(256, bool)
+NO_LETTER[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -82,10 +85,10 @@ class Words:
     ``rows[i]:rows[i + 1]``.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, between: np.ndarray = SPACE):
         self.data, bounds = text_buffer(column)
         self.lower = lower
-        word = ~_SPACE[self.data]
+        word = ~between[self.data]
         n = len(word)
         breaks = np.zeros(n + 1, bool)
         breaks[bounds] = True
@@ -104,6 +107,11 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         return family(seed, self.lower).hashes(self.data, self.starts, self.ends)
 
+    def affixes(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each word's first and last ``size`` bytes."""
+        hashes = family(seed, self.lower).hashes
+        return hashes(self.data, self.starts, np.minimum(self.ends, self.starts + size)), hashes(self.data, np.maximum(self.starts, self.ends - size), self.ends)
+
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
