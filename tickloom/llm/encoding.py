@@ -16,9 +16,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-SPECIAL = re.compile(r"<\|")
+#: What a text that goes to the library whole holds: an opening of special tokens, or white space of other kinds.
+ODD_WORDS = ["<|", *map(chr, range(0x1C, 0x20))]
+ODD_PIECES = [*ODD_WORDS, "\0", *map(chr, (0x0B, 0x0C, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))]
+
+
+def split_pieces(text: str) -> list[str]:
+    """Pieces of a text: those that follow a single space go without it, others after a NUL."""
+    if "  " in text or "\n " in text or "\t " in text or "\r " in text or text.endswith(" "):
+        return ["\0" + p for p in PIECES.findall(text)]
+    split = text.split(" ")
+    if split[0]:
+        split[0] = "\0" + split[0]
+        return split
+    return split[1:]
 
 
 def tokenizer_digest(path: str) -> str:
@@ -29,26 +40,36 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+class _Index(dict):
+    """The ids of pieces, as bytes; asks for pieces it doesn't have are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.new.append(piece)
+
+
 class Encoder:
     """``cache_pieces`` and ``cache_chars`` bound the worker's cache, which starts anew beyond them."""
 
-    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 800_000, cache_chars: int = 16 << 20):
+    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 1_500_000, cache_chars: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = (PIECES if spaces_matter else WORDS).findall
-        self.odd = (ODD if spaces_matter else SPECIAL).search
+        self.split = split_pieces if spaces_matter else str.split
+        self.odd = ODD_PIECES if spaces_matter else ODD_WORDS
         self.limits = cache_pieces, cache_chars
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64) if spaces_matter else None
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.chars = 0
-        self.offsets, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,63 +84,57 @@ class Encoder:
         return ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right"), prepend=0)
 
     def _learn(self, new: list[str]) -> None:
-        # pieces that don't start with white space, or hold nothing else, can't be told apart once joined
-        alone = [p for p in new if p[0] > " " or p[-1] <= " "] if self.bytes_of is not None else []
-        for p in alone:
-            ids = np.array(self._library([p])[0], np.uint32)
-            self._keep([p], ids, np.array([len(ids)]))
-        rest = [p for p in new if p[0] <= " " < p[-1]] if self.bytes_of is not None else new
-        for k in range(0, len(rest), 4096):
-            self._keep(rest[k : k + 4096], *self._each(rest[k : k + 4096]))
-
-    def _keep(self, part: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        first, used = len(self.index), self.used
-        while first + len(part) > len(self.offsets):
-            self.offsets, self.lengths = np.concatenate([self.offsets, np.zeros_like(self.offsets)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        while used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.index.update(zip(part, range(first, first + len(part)), strict=True))
-        self.lengths[first : first + len(part)] = n
-        self.offsets[first : first + len(part)] = used + np.cumsum(n) - n
-        self.pool[used : used + len(ids)] = ids
-        self.used += len(ids)
-        self.chars += sum(map(len, part))
-
-    def _grouped(self, texts: Iterable[str], group_chars: int = 1 << 20):
-        """Each text with its pieces' places in the cache, or with None for a text that goes to the library whole."""
+        joined = []
+        for key in new:
+            piece = key if self.bytes_of is None else key[1:] if key[0] == "\0" else " " + key
+            # pieces that don't start with white space, or end with it, can't be told apart once joined
+            if self.bytes_of is None or piece[0] <= " " < piece[-1]:
+                joined.append((key, piece))
+            else:
+                self.index[key] = np.array(self._library([piece])[0], self.kind).tobytes()
+        for k in range(0, len(joined), 4096):
+            keys, part = zip(*joined[k : k + 4096], strict=True)
+            ids, n = self._each(list(part))
+            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            ends = (np.cumsum(n) * size).tolist()
+            self.index.update(zip(keys, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.chars += sum(map(len, new))
+
+    def _coded(self, texts: Iterable[str], group_chars: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text as bytes; texts go in groups, whose new pieces are encoded together."""
         group, chars = [], 0
         for text in texts:
-            group.append((text, None if self.odd(text) else self.split(text)))
+            group.append((text, None if any(c in text for c in self.odd) else self.split(text)))
             chars += len(text)
             if chars > group_chars:
-                yield from self._placed(group)
+                yield from self._group(group)
                 group, chars = [], 0
-        yield from self._placed(group)
+        yield from self._group(group)
 
-    def _placed(self, group: list) -> Iterator[tuple[str, np.ndarray | None]]:
+    def _group(self, group: list) -> Iterator[bytes]:
         if len(self.index) > self.limits[0] or self.chars > self.limits[1]:
             self._clear()
-        new = dict.fromkeys(p for _, split in group if split for p in set(split).difference(self.index))
-        if new:
-            self._learn(list(new))
-        for text, split in group:
-            yield text, None if split is None else np.fromiter(map(self.index.__getitem__, split), np.int64, len(split))
+        find = self.index.__getitem__
+        found = [split and list(map(find, split)) for _, split in group]
+        if self.index.new:
+            self._learn(list(dict.fromkeys(self.index.new)))
+            self.index.new.clear()
+        for (text, split), got in zip(group, found, strict=True):
+            if split is None:
+                yield np.array(self._library([text])[0], self.kind).tobytes()
+                continue
+            if None in got:
+                for i in [i for i, x in enumerate(got) if x is None]:
+                    got[i] = find(split[i])
+            yield b"".join(got)
 
     def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for text, at in self._grouped(texts):
-            if at is None:
-                yield np.array(self._library([text])[0], np.uint32)
-                continue
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.pool[np.repeat(self.offsets[at] - (ends - n), n) + np.arange(total)]
+        return (np.frombuffer(raw, self.kind) for raw in self._coded(texts))
 
     def counts(self, texts: Iterable[str]) -> Iterator[int]:
         """The number of ids of each text."""
-        for text, at in self._grouped(texts):
-            yield len(self._library([text])[0]) if at is None else int(self.lengths[at].sum())
+        return (len(raw) // self.kind.itemsize for raw in self._coded(texts))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
