@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.decontamination import op8_decontamination
+from tickloom.llm.language_model import op4_language_model
 from tickloom.llm.near_duplicates import op2_near_duplicates
 from tickloom.llm.packing import op5_packing
 from tickloom.llm.substring_dedup import op6_substring_dedup
@@ -19,7 +20,7 @@ ORACLE: dict[str, str] = {"op9_top_k": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_token_files, op5_packing, op6_substring_dedup, op8_decontamination, op9_top_k, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_token_files, op4_language_model, op5_packing, op6_substring_dedup, op8_decontamination, op9_top_k, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
