@@ -8,8 +8,9 @@ on a block's bits meet under that block's key. Blocks without any shingle are no
 with fewer than ``spare`` of them can't be linked by them alone; sets with more meet under one key.
 
 Where a key joins many sets, they are not paired with each other: all are compared to a central
-one, and only what remains in several components after that is compared across components. So
-every link is either verified or lies within a component that is already whole.
+one. Only what remains in several components after that is compared across components, sketch by
+sketch within the run, and only pairs that the sketches leave possible become rows. So every link is
+either verified or lies within a component that is already whole.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def _keyed(width: int, bands: Bands, segment_bits: int, flush: int):
 
 
 def _runs(longest: int):
-    """Sets under each key that has several; long runs are cut, each part with the run's first set."""
+    """Sets under each key that has several; long runs are cut into parts, any two of which make a run."""
 
     def run(key, table):
         if key[0].as_py() <= _SIZES:
@@ -188,7 +189,8 @@ def _runs(longest: int):
         members = []
         for x in found:
             m = np.frombuffer(x, np.int64)
-            members += [m] if len(m) <= longest else [np.concatenate([m[:1], m[k : k + longest]]) for k in range(1, len(m), longest)]
+            cut = [m] if len(m) <= longest else np.array_split(m, -(-2 * len(m) // longest))
+            members += cut if len(cut) == 1 else [np.concatenate([a, b]) for i, a in enumerate(cut) for b in cut[:i]]
         return pa.table([pa.array([m.tolist() for m in members], pa.list_(pa.int64())), pa.nulls(len(members), pa.int64()), pa.nulls(len(members), pa.int64())], ["members", "uid", "n"])
 
     return run
@@ -221,6 +223,31 @@ def _near(percent: int):
     return run
 
 
+def _within(percent: int, block: int = 256):
+    """Pairs of a run's sets that lie in different components and whose sketches are near."""
+
+    def run(table):
+        uid, root, n, band = (table.column(c).to_numpy() for c in ("uid", "root", "n", "band"))
+        order = np.lexsort((-band, uid))
+        own = order[np.concatenate([[True], uid[order][1:] != uid[order][:-1]])]  # each set's own band
+        at = np.flatnonzero(band == band[own].min())  # one that all sets of the run are in
+        sketch = np.frombuffer(b"".join(table.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+        uid, root, n = uid[at], root[at], n[at]
+        a, b = [], []
+        for lo in range(0, len(at), block):
+            for start in range(lo, len(at), block):
+                x, y = slice(lo, lo + block), slice(start, start + block)
+                most = (n[x, None] + n[None, y]) * (100 - percent) // (100 + percent)
+                differ = np.bitwise_count(sketch[x, None, :] ^ sketch[None, y, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero((differ <= most) & (root[x, None] != root[None, y]))
+                later = i + lo < j + start
+                a.append(uid[lo + i[later]])
+                b.append(uid[start + j[later]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
 def _verify(width: int, percent: int):
     def run(batches):
         last, own = None, None
@@ -251,7 +278,7 @@ def _content(text):
 class Join:
     """Links and components of the distinct contents of a table."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, longest: int = 4096, segment_keys: int = 1 << 19, flush: int = 4 << 20, star_rounds: int = 2):
+    def __init__(self, docs: DataFrame, width: int, percent: int, longest: int = 4096, segment_keys: int = 1 << 19, flush: int = 4 << 20):
         self.spark = spark = docs.sparkSession
         self.width, self.percent, self.bands = width, percent, Bands(percent)
         text = text_column(docs)
@@ -267,48 +294,34 @@ class Join:
         runs = materialise(blobs.groupBy("segment").applyInArrow(_runs(longest), RUNS), "runs")
         self.sizes = runs.where("uid is not null").select("uid", "n")
         self.runs = materialise(runs.where("members is not null").select("members").distinct().withColumn("run", F.monotonically_increasing_id()), "runs")
-        self.links, self.roots = self._link(star_rounds)
-
-    def _candidates(self, pairs: DataFrame) -> DataFrame:
-        """Verified links among pairs ``a, b`` of contents."""
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        used = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        texts = self.contents.select("uid", "text")
-        sketches = materialise(texts.join(used, "uid", "left_semi").mapInArrow(_sketching(self.width, self.bands), "uid long, n long, band long, sketch binary"), "sketches")
+        self.links, self.roots = self._link()
+
+    def _verified(self, near: DataFrame) -> DataFrame:
+        """The links among pairs ``a, b`` of contents, by their whole sets."""
+        near = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        a, b = (self.contents.select(F.col("uid").alias(x), F.col("text").alias(f"{x}text")) for x in "ab")
+        return materialise(near.join(b, "b").join(a, "a").mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
+
+    def _link(self) -> tuple[DataFrame, DataFrame]:
+        members = self.runs.select("run", F.explode("members").alias("uid"), (F.size("members") - 1).alias("others"))
+        central = members.groupBy("uid").agg(F.sum("others").alias("central"))
+        texts = self.contents.select("uid", "text").join(central, "uid", "left_semi")
+        sketches = materialise(texts.mapInArrow(_sketching(self.width, self.bands), "uid long, n long, band long, sketch binary"), "sketches")
+        # all to the most central of each run
+        hubs = members.join(central, "uid").groupBy("run").agg(F.max(F.struct("central", (-F.col("uid")).alias("nuid"))).alias("top")).select("run", (-F.col("top.nuid")).alias("hub"))
+        pairs = materialise(members.join(hubs, "run").where("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct(), "pairs")
         a, b = (sketches.select(F.col("uid").alias(x), F.col("n").alias(f"{x}n"), "band", F.col("sketch").alias(f"{x}sketch")) for x in "ab")
-        near = materialise(pairs.join(a, "a").join(b, ["b", "band"]).mapInArrow(_near(self.percent), "a long, b long").distinct(), "near")
-        a, b = (texts.select(F.col("uid").alias(x), F.col("text").alias(f"{x}text")) for x in "ab")
-        return near.join(b, "b").join(a, "a").mapInArrow(_verify(self.width, self.percent), "a long, b long")
-
-    def _unresolved(self, runs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members of the runs that lie in more than one component, with their roots."""
-        m = runs.select("run", F.explode("members").alias("uid"))
-        m = m.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        open_runs = m.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("run", "size")
-        return m.join(open_runs, "run")
-
-    def _link(self, star_rounds: int) -> tuple[DataFrame, DataFrame]:
-        links = self.spark.createDataFrame([], "a long, b long")
-        roots = self.spark.createDataFrame([], "node long, root long")
-        central = self.runs.select(F.explode("members").alias("uid"), (F.size("members") - 1).alias("others")).groupBy("uid").agg(F.sum("others").alias("central"))
-        ranked = self.runs.select("run", F.explode("members").alias("uid")).join(central, "uid").groupBy("run").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("central"), (-F.col("uid")).alias("nuid"))), asc=False), 1, star_rounds).alias("top"))
-        ranked = materialise(ranked.select("run", F.transform("top", lambda x: -x["nuid"]).alias("top")), "central")
-        for k in range(star_rounds + 1):
-            m = self._unresolved(self.runs, roots)
-            if k < star_rounds:
-                pairs = m.join(ranked.where(F.size("top") > k).select("run", F.col("top")[k].alias("hub"), F.slice("top", 1, k).alias("before")), "run")
-                hubs = m.select("run", F.col("uid").alias("hub"), F.col("root").alias("hub_root"))
-                pairs = pairs.join(hubs, ["run", "hub"]).where("root <> hub_root").where(~F.array_contains("before", F.col("uid")))
-                pairs = pairs.select(F.col("hub").alias("a"), F.col("uid").alias("b"))
-            else:  # across components only, without the hubs, which have been compared to all
-                m = m.where(F.col("size") > star_rounds + 1).join(ranked, "run").where(~F.array_contains("top", F.col("uid")))
-                x, y = (m.select("run", F.col("uid").alias(i), F.col("root").alias(f"{i}root")) for i in "ab")
-                pairs = x.join(y, "run").where("a < b and aroot <> broot").select("a", "b")
-            new = materialise(self._candidates(pairs), "links")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                roots = materialise(components(links), "roots")
-        return links, roots
+        links = self._verified(pairs.join(a, "a").join(b, ["b", "band"]).mapInArrow(_near(self.percent), "a long, b long"))
+        roots = materialise(components(links), "roots")
+        # what still lies in several components, across them
+        m = members.select("run", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        several = m.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("run")
+        left = m.join(several, "run").join(sketches, "uid").select("run", "uid", "root", "n", "band", "sketch")
+        more = self._verified(left.groupBy("run").applyInArrow(_within(self.percent), "a long, b long"))
+        if more.isEmpty():
+            return links, roots
+        links = links.unionByName(more).distinct()
+        return links, materialise(components(links), "roots")
 
     def classes(self) -> DataFrame:
         """``digest, n_shingles, component_id, n_links`` of each distinct content."""
