@@ -1,4 +1,4 @@
-"""All registered queries and their SQL, gathered from the query modules."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tickloom.plans.queries import ORACLE, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
