@@ -299,14 +299,15 @@ class Join:
     def _verified(self, near: DataFrame) -> DataFrame:
         """The links among pairs ``a, b`` of contents, by their whole sets."""
         near = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-        a, b = (self.contents.select(F.col("uid").alias(x), F.col("text").alias(f"{x}text")) for x in "ab")
+        a, b = (self.used.select(F.col("uid").alias(x), F.col("text").alias(f"{x}text")) for x in "ab")
         return materialise(near.join(b, "b").join(a, "a").mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
 
     def _link(self) -> tuple[DataFrame, DataFrame]:
         members = self.runs.select("run", F.explode("members").alias("uid"), (F.size("members") - 1).alias("others"))
         central = members.groupBy("uid").agg(F.sum("others").alias("central"))
-        texts = self.contents.select("uid", "text").join(central, "uid", "left_semi")
-        sketches = materialise(texts.mapInArrow(_sketching(self.width, self.bands), "uid long, n long, band long, sketch binary"), "sketches")
+        # contents that meet another under some key: only their texts are joined from here on
+        self.used = materialise(self.contents.select("uid", "text").join(central, "uid", "left_semi"), "used")
+        sketches = materialise(self.used.mapInArrow(_sketching(self.width, self.bands), "uid long, n long, band long, sketch binary"), "sketches")
         # all to the most central of each run
         hubs = members.join(central, "uid").groupBy("run").agg(F.max(F.struct("central", (-F.col("uid")).alias("nuid"))).alias("top")).select("run", (-F.col("top.nuid")).alias("hub"))
         pairs = materialise(members.join(hubs, "run").where("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct(), "pairs")
