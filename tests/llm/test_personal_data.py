@@ -1,0 +1,68 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.cases import ROWS, frame
+from tickloom.llm.common import read
+from tickloom.llm.personal_data import op7_personal_data, permuted, replace_personal_data
+
+TEXTS = {
+    1: "Write to ann.lee@mail3.example.com or 42.144.35.254, call +1 (857) 555-3818.",
+    2: "ann.lee@mail3.example.com again; card 4111 1111 1111 1111 and 4111111111111112, password=df8d805e67d533b696 x",
+    3: 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" Mrs. Clara Smith met Mr. Tom Smith and Frau Weber.',
+    4: "Versions 1.2.3 and 999.1.1.1 stay, so do 2024-01-31, 12345 and a@b.",
+}
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+@pytest.fixture(scope="module")
+def changed(spark):
+    df = spark.createDataFrame([*TEXTS.items(), (5, None), (6, "")], "doc_id long, text string")
+    return {r.doc_id: r for r in replace_personal_data(df, "key").collect()}
+
+
+def test_kinds_and_formats(changed):
+    assert changed[1].kinds == ["email", "ip", "phone"] and changed[1].n_entities == 3
+    mail, ip, phone = re.match(r"Write to (\S+) or ([\d.]+), call (.*)\.$", changed[1].text).groups()
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{3}@[a-z]{4}\d\.[a-z]{7}\.com", mail) and mail != "ann.lee@mail3.example.com"
+    assert all(0 <= int(x) <= 255 for x in ip.split(".")) and ip != "42.144.35.254"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone)
+    assert changed[2].text.startswith(mail)  # one entity, one surrogate
+    good, bad, secret = re.search(r"card ([\d ]{19}) and (\d{16}), password=(\S+) x", changed[2].text).groups()
+    assert luhn(good.replace(" ", "")) and not luhn(bad) and re.fullmatch("[0-9a-f]{18}", secret)
+    token, she, he, frau = re.match(r'token = "([0-9a-f]{40})" Mrs\. (\w+ \w+) met Mr\. (\w+ \w+) and Frau (\w+)\.$', changed[3].text).groups()
+    assert token != TEXTS[3][9:49] and she.split()[1] == he.split()[1] and frau != "Weber"
+    assert changed[4].text == TEXTS[4] and changed[4].n_entities == 0
+    assert changed[5].text is None and changed[6].text == "" and changed[5].n_entities == 0
+
+
+def test_permutation_is_one_to_one(spark):
+    df = spark.range(2000).select(F.format_string("a%03d", F.col("id")).alias("t")).select("t", permuted(F.col("t"), "k", "x").alias("p"))
+    rows = df.distinct().collect()
+    assert len({r.p for r in rows}) == len(rows) and all(re.fullmatch(r"[a-z]\d+", r.p) and len(r.p) == len(r.t) for r in rows)
+
+
+def test_names_that_meet_are_drawn_again(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Mr. X{letters[k % 26]}{letters[k // 26 % 26]}{letters[k // 676]}" for k in range(200)]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "doc_id long, text string")
+    got = [r.text for r in replace_personal_data(df, "key", rounds=4).collect()]
+    assert len(set(got)) == len(names)
+
+
+def test_odd_rows(spark):
+    got = replace_personal_data(frame(spark), "key").collect()
+    assert sorted((r.text or "", r.text is None) for r in got) == sorted((t or "", t is None) for _, t in ROWS)
+    assert replace_personal_data(frame(spark, []), "key").count() == 0
+
+
+def test_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in read(spark, sf_dir, "documents").collect()}
+    for r in op7_personal_data(spark, sf_dir).collect():
+        assert (r.text == texts[r.doc_id]) == (r.n_entities == 0)
+        for e in re.findall(r"[\w.+-]+@[\w-]+\.[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}", texts[r.doc_id]):
+            assert e not in r.text

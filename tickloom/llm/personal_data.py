@@ -7,8 +7,8 @@ surrogates wherever they stand, and different entities of one shape different on
 Internet are permuted as numbers, so that they stay valid; card numbers keep a valid check digit;
 personal names after a title are drawn from lists by the title's gender.
 
-Where two entities could still meet (names; cards with and without a valid check digit), surrogates of
-all distinct entities are compared, and those that collide are drawn again.
+Where two entities could still meet (names), the surrogates of all distinct ones are compared, and
+those that collide are drawn again.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from tickloom.llm.decontamination import let
 
 # Patterns of the kinds, in the order in which they are tried.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=password=|token = \"|secret=|api_key=|token=)[A-Za-z0-9_\-]{12,}|\b[0-9a-f]{32,64}\b|\bAKIA[0-9A-Z]{16}\b",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "name": r"(?<=\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Madame|Monsieur)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<=[=\"])(?<=password=|token = \"|secret=|api_key=|token=)[A-Za-z0-9_\-]{12,}|\b[0-9a-f]{32,64}\b|\bAKIA[0-9A-Z]{16}\b",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
+    "card": r"(?=\d)(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?=\+)(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?=\()(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?=\d)(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "name": r"(?=\p{Lu})(?<= )(?<=\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Madame|Monsieur)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 # Alphabets within which characters are exchanged.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
@@ -132,16 +132,15 @@ def _name(entity: Column, title: Column, key: str, attempt: Column) -> Column:
 
 
 def surrogate(entity: Column, kind: Column, title: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity; ``attempt`` (as text) changes it where two have met."""
-    keyed = F.when(attempt == "0", entity).otherwise(entity)
+    """The surrogate of an entity; ``attempt`` (as text) changes a name's where two have met."""
     host = r"^(.*)(\.[A-Za-z]{2,})$"
-    email = F.concat(permuted(F.regexp_extract(keyed, host, 1), key, "email"), F.regexp_extract(keyed, host, 2))
-    phone = F.regexp_extract(keyed, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 1)
-    rest = F.regexp_extract(keyed, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 2)
-    secret = F.when(keyed.rlike("^[0-9a-f]+$"), permuted(keyed, key, "hex", (HEX,))).otherwise(permuted(keyed, key, "secret"))
+    email = F.concat(permuted(F.regexp_extract(entity, host, 1), key, "email"), F.regexp_extract(entity, host, 2))
+    phone = F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 1)
+    rest = F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 2)
+    secret = F.when(entity.rlike("^[0-9a-f]+$"), permuted(entity, key, "hex", (HEX,))).otherwise(permuted(entity, key, "secret"))
     return (
-        F.when(kind == "email", email).when(kind == "ip", _ip(keyed, key)).when(kind == "card", _card(keyed, key)).when(kind == "ssn", permuted(keyed, key, "ssn"))
-        .when(kind == "phone", F.concat(phone, permuted(rest, key, "phone"))).when(kind == "name", _name(keyed, title, key, attempt)).otherwise(secret)
+        F.when(kind == "email", email).when(kind == "ip", _ip(entity, key)).when(kind == "card", _card(entity, key)).when(kind == "ssn", permuted(entity, key, "ssn"))
+        .when(kind == "phone", F.concat(phone, permuted(rest, key, "phone"))).when(kind == "name", _name(entity, title, key, attempt)).otherwise(secret)
     )
 
 
@@ -159,7 +158,7 @@ def _repairs(entities: DataFrame, key: str, rounds: int) -> DataFrame:
     """``entity, kind, title, attempt`` of those entities that would meet another's surrogate."""
     open_, kept = entities.select("entity", "kind", "title", F.lit("0").alias("attempt")), None
     for k in range(rounds):
-        drawn = open_.withColumn("out", surrogate(F.col("entity"), F.col("kind"), F.col("title"), key, F.col("attempt")))
+        drawn = open_.withColumn("out", _name(F.col("entity"), F.col("title"), key, F.col("attempt")))
         least = drawn.groupBy("kind", "out").agg(F.min("entity").alias("first"))
         met = drawn.join(least, ["kind", "out"]).where(F.col("entity") != F.col("first"))
         met = materialise(met.select("entity", "kind", "title", F.lit(str(k + 1)).alias("attempt")), "met")
@@ -180,10 +179,11 @@ def replace_personal_data(docs: DataFrame, key: str, rounds: int = 4, counts: bo
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     some = F.col("text").rlike(HINT)
     parsed = docs.select(*names, F.explode(F.array(F.when(some, _found(F.col("text"))))).alias("found"))
-    entities = docs.where(some).select(F.explode(F.array(_found(text_column(docs)))).alias("found")).select(F.explode("found.entities").alias("e")).select("e.*")
+    titled = F.col("text").rlike(r"\b(?:Mrs?|Ms|Herr|Frau|Señora?|Madame|Monsieur)\.? \p{Lu}")
+    entities = docs.where(titled).select(F.explode(F.array(_found(text_column(docs)))).alias("found")).select(F.explode("found.entities").alias("e")).select("e.*")
     gendered = F.when(F.col("kind") == "name", F.col("title")).otherwise("")
-    # attempts matter where surrogates can meet at all; other kinds are permutations
-    repairs = _repairs(entities.where("kind in ('name', 'card')").select("entity", "kind", gendered.alias("title")).distinct(), key, rounds)
+    # only names can meet: the surrogates of other kinds are permutations
+    repairs = _repairs(entities.where("kind = 'name'").select("entity", "kind", gendered.alias("title")).distinct(), key, rounds)
     repairs = materialise(repairs, "repairs")
     n = repairs.count()
     if n > BROADCAST_REPAIRS:
