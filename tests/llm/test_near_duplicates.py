@@ -56,6 +56,17 @@ def test_equals_brute_force(spark, rows, width, percent, options):
     assert order(near_duplicates(frame(spark, rows), width, percent, **options).collect()) == order(brute(rows, width, percent))
 
 
+#: Different word sequences with one shingle set: short cycles, repeated or begun elsewhere.
+CYCLES = [(k, "ha " * n) for k, n in enumerate((4, 5, 6, 9))] + [(10, "a b a b a b a"), (11, "b a b a b a b a"), (12, "A b a b a b a b a b"), (13, "a b a c a b")] + [(20 + 10 * w + n, " ".join(f"line{w}{k}" for k in range(w)) + (" " + " ".join(f"line{w}{k}" for k in range(w))) * n) for w in range(1, 7) for n in (4, 9, 10)] + [(90, "ha"), (91, "ha ha"), (92, None)]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_small_sets_of_cycles(spark, width, percent):
+    got = order(near_duplicates(frame(spark, CYCLES), width, percent).collect())
+    assert got == order(brute(CYCLES, width, percent))
+    assert dict((r[0], r[2]) for r in got)[12] == 10
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 

@@ -90,7 +90,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def block_keys(hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets, and the row of each."""
     rows, band = bands.of(sizes)
-    useful = (bands.differ[band] > 0) & (sizes[rows] > 0)
+    useful = sizes[rows] > 0
     rows, band = rows[useful], band[useful]
     starts = np.cumsum(sizes) - sizes
     at = _ragged(starts[rows], sizes[rows])
