@@ -67,6 +67,16 @@ def test_small_sets_of_cycles(spark, width, percent):
     assert dict((r[0], r[2]) for r in got)[12] == 10
 
 
+@pytest.mark.parametrize(("rows", "width", "percent", "options"), [(ROWS + FAMILY + CYCLES, 4, 85, {"cell": 7}), (FAMILY, 5, 80, {})])
+def test_links_are_all_counted(spark, rows, width, percent, options):
+    sets = {" ".join(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))): shingles(t, width) for _, t in rows}
+    linked = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    degree = {c: sum(bool(linked(x, y)) for d, y in sets.items() if d != c) for c, x in sets.items()}
+    want = sorted((i is not None, i or 0, len(shingles(t, width)), degree[" ".join(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)))]) for i, t in rows)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.n_links) for r in near_duplicates(frame(spark, rows), width, percent, **options).collect())
+    assert got == want and max(x[3] for x in want) > 10
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 

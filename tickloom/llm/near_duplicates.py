@@ -10,7 +10,9 @@ with fewer than ``spare`` of them can't be linked by them alone; sets with more
 Where a key joins many sets, they are not paired with each other: all are compared to a central
 one. Only what remains in several components after that is compared across components, sketch by
 sketch within the run, and only pairs that the sketches leave possible become rows. So every link is
-either verified or lies within a component that is already whole.
+either verified or lies within a component that is already whole. The number of links is counted after
+that: in each component of which some pair is unverified, all sets are compared whole, large components
+cut into parts, any two of which are compared in one task; only counts leave it.
 """
 
 from __future__ import annotations
@@ -270,6 +272,45 @@ def _verify(width: int, percent: int):
     return run
 
 
+def counted(hashes: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """The number of links of each of some sets to the others; between two sides, only to those of the other side."""
+    order = np.argsort(sizes, kind="stable")
+    at = _ragged((np.cumsum(sizes) - sizes)[order], sizes[order])
+    _, ids = np.unique(hashes[at], return_inverse=True)
+    n, side = sizes[order], side[order]
+    starts = np.cumsum(n) - n
+    last = np.searchsorted(n * percent, n * 100, side="right")  # sets up to this one are not too large
+    two = bool((side != side[:1]).any())
+    links = np.zeros(len(n), np.int64)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int8)
+    for a in range(len(n)):
+        lo, hi = a + 1, int(last[a])
+        if lo >= hi:
+            continue
+        own = ids[starts[a] : starts[a] + n[a]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[ids[starts[lo] : starts[hi - 1] + n[hi - 1]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[own] = 0
+        near = 100 * both >= percent * (n[a] + n[lo:hi] - both)
+        if two:
+            near &= side[lo:hi] != side[a]
+        links[a] += near.sum()
+        links[lo:hi] += near
+    out = np.empty_like(links)
+    out[order] = links
+    return out
+
+
+def _counting(width: int, percent: int):
+    def run(key, table):
+        table = table.combine_chunks()
+        found = [shingle_sets(part.column("text"), width) for b in table.to_batches() for part in pieces(b, "text")]
+        hashes, sizes = (np.concatenate([f[k] for f in found]) for k in range(2))
+        return pa.table([table.column("uid"), pa.array(counted(hashes, sizes, table.column("part").to_numpy(), percent))], ["uid", "n_links"])
+
+    return run
+
+
 def _content(text):
     """Words in lower-case A-Z, joined by one space."""
     return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\n\r\x0B\f]+", " "))
@@ -278,8 +319,9 @@ def _content(text):
 class Join:
     """Links and components of the distinct contents of a table."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, longest: int = 4096, segment_keys: int = 1 << 19, flush: int = 4 << 20):
+    def __init__(self, docs: DataFrame, width: int, percent: int, longest: int = 4096, segment_keys: int = 1 << 19, flush: int = 4 << 20, cell: int = 1024):
         self.spark = spark = docs.sparkSession
+        self.cell = cell
         self.width, self.percent, self.bands = width, percent, Bands(percent)
         text = text_column(docs)
         self.digest = F.unhex(F.sha2(_content(text), 256))
@@ -296,6 +338,20 @@ class Join:
         self.runs = materialise(runs.where("members is not null").select("members").distinct().withColumn("run", F.monotonically_increasing_id()), "runs")
         self.links, self.roots = self._link()
 
+    def _degrees(self, cell: int = 1024, cell_bytes: int = 16 << 20) -> DataFrame:
+        """``uid, n_links`` of all contents that have links; where a component has unverified pairs, all its sets are compared."""
+        degree = self.links.select(F.col("a").alias("uid")).unionByName(self.links.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count("*").alias("n_links"))
+        linked = materialise(self.roots.select(F.col("node").alias("uid"), "root").join(degree, "uid").join(self.used.select("uid", F.octet_length("text").cast("long").alias("bytes")), "uid"), "linked")
+        of = linked.groupBy("root").agg(F.count("*").alias("size"), F.sum("n_links").alias("ends"), F.sum("bytes").alias("bytes"))
+        whole = F.col("ends") == F.col("size") * (F.col("size") - 1)
+        parts = F.when((F.col("size") <= cell) & (F.col("bytes") <= cell_bytes), 1).otherwise(F.greatest(F.ceil(2 * F.col("size") / cell), F.ceil(2 * F.col("bytes") / cell_bytes)))
+        left = of.where(~whole).select("root", parts.cast("int").alias("parts"))
+        rows = linked.join(left, "root").select("uid", "root", "parts", F.pmod(F.xxhash64("uid"), "parts").cast("int").alias("part"))
+        # each part meets every other, and itself
+        cells = rows.select("uid", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(self.used, "uid")
+        counts = cells.groupBy("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).applyInArrow(_counting(self.width, self.percent), "uid long, n_links long")
+        return linked.join(left, "root", "left_anti").select("uid", "n_links").unionByName(counts).groupBy("uid").agg(F.sum("n_links").alias("n_links"))
+
     def _verified(self, near: DataFrame) -> DataFrame:
         """The links among pairs ``a, b`` of contents, by their whole sets."""
         near = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
@@ -327,8 +383,7 @@ class Join:
     def classes(self) -> DataFrame:
         """``digest, n_shingles, component_id, n_links`` of each distinct content."""
         kinds = self.contents.select("uid", "digest", "least").join(self.sizes, "uid")
-        degree = self.links.select(F.col("a").alias("uid")).unionByName(self.links.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count("*").alias("n_links"))
-        kinds = kinds.join(self.roots.withColumnRenamed("node", "uid"), "uid", "left").join(degree, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        kinds = kinds.join(self.roots.withColumnRenamed("node", "uid"), "uid", "left").join(self._degrees(self.cell), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         least = kinds.groupBy("root").agg(F.min("least").alias("component_id"))
         return materialise(kinds.join(least, "root").select("digest", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
@@ -338,7 +393,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, **option
 
     Two rows link when ``100 * both >= percent * either`` over their sets of ``width``-word
     shingles (A-Z in lower case). ``component_id`` is the smallest id over any number of links.
-    ``n_links`` counts links to other contents that were verified on the way.
+    ``n_links`` counts the other contents that a row's is linked with.
 
     Null texts and texts without words have an empty set, are linked with nothing and are their own
     component; shorter texts than ``width`` have one shingle. Equal contents are one class whatever
