@@ -23,15 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of each group linked by similarity 0.8 on five-word shingles; of rows with one id, one text (the first by its digest)."""
-    found = near_duplicates.near_duplicates(docs, width=5, percent=80)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays.withColumnRenamed("doc_id", "stays"), docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
-    many = materialise(kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64(F.coalesce("text", F.lit("")))).alias("first")).where("n > 1"), "one-id")
-    if many.isEmpty():
-        return kept.select(*COLUMNS)
-    once = kept.join(many.select(F.col("doc_id").alias("d"), "first"), kept["doc_id"].eqNullSafe(F.col("d")), "left")
-    return once.where(F.col("first").isNull() | (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("first"))).select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """Keeps one row, that with the smallest id, of each group linked by similarity 0.8 on five-word shingles, and all rows without words."""
+    return near_duplicates.representatives(docs, width=5, percent=80).select(*COLUMNS)
 
 
 def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

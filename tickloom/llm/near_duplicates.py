@@ -380,6 +380,12 @@ class Join:
         links = links.unionByName(more).distinct()
         return links, materialise(components(links), "roots")
 
+    def groups(self) -> DataFrame:
+        """``digest, n_shingles, root`` of each distinct content; contents of one component have one root."""
+        kinds = self.contents.select("uid", "digest").join(self.sizes.withColumnRenamed("n", "n_shingles"), "uid")
+        kinds = kinds.join(self.roots.withColumnRenamed("node", "uid"), "uid", "left")
+        return materialise(kinds.select("digest", "n_shingles", F.coalesce("root", "uid").alias("root")), "groups")
+
     def classes(self) -> DataFrame:
         """``digest, n_shingles, component_id, n_links`` of each distinct content."""
         kinds = self.contents.select("uid", "digest", "least").join(self.sizes, "uid")
@@ -406,5 +412,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, **option
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links")
 
 
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
+    """One row of ``docs`` of each component: that with the smallest id (nulls last), then digest of the content, then digest of the row.
+
+    Rows are told apart by what they hold, never by their ids alone. Rows without words are all kept.
+    """
+    join = Join(docs, width, percent, **options)
+    whole = F.unhex(F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
+    keyed = docs.withColumns({"_content": join.digest, "_row": whole})
+    has_words = docs["text"].rlike(r"[^ \t\n\r\x0B\f]")
+    rows = keyed.where(has_words).select("_content", "_row", F.col("doc_id").cast("long").alias("_id"))
+    rows = rows.groupBy("_content", "_row", "_id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_content", "_row", "n"))
+    chosen = rows.join(join.groups().select(F.col("digest").alias("_content"), "root"), "_content").groupBy("root").agg(first.alias("first")).select("first._row", "first.n")
+    chosen = materialise(chosen, "chosen")
+    keyed, equal = keyed.where(has_words), chosen.where("n > 1").select("_row")
+    kept = keyed.join(chosen.where("n = 1").select("_row"), "_row", "left_semi").unionByName(keyed.join(equal, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns).unionByName(docs.where(~F.coalesce(has_words, F.lit(False))))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=85)
