@@ -54,6 +54,22 @@ def test_names_that_meet_are_drawn_again(spark):
     assert len(set(got)) == len(names)
 
 
+def test_many_names_stay_distinct_and_keep_their_family(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tail = F.concat(*(F.substring(F.lit(letters), (F.floor(F.col("id") / 26**k) % 26 + 1).cast("int"), F.lit(1)) for k in range(3)))
+    family = F.when(F.col("id") % 50 == 0, F.concat(F.lit("Ա"), tail, F.lit("բ"))).when(F.col("id") % 50 == 1, F.concat(F.lit("Ü"), tail)).otherwise(F.concat(F.lit("X"), tail))
+    text = F.concat(F.lit("Mr. "), family, F.lit(", Mr. John "), family, F.lit(", Mrs. John "), family, F.lit(", Mr. Adam "), family)
+    df = spark.range(15000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    alone, full = set(), set()
+    for r in replace_personal_data(df, "key", counts=False).collect():
+        one, *more = [x.split(". ", 1)[1] for x in r.text.split(", ")]
+        assert [x.split()[1] for x in more] == [one] * 3 and not set(re.findall("[ԱբÜ]", texts[r.doc_id])) & set("Աբ") & set(r.text)
+        alone.add(one)
+        full |= set(more)
+    assert len(alone) == 15000 and len(full) == 45000
+
+
 def test_odd_rows(spark):
     got = replace_personal_data(frame(spark), "key").collect()
     assert sorted((r.text or "", r.text is None) for r in got) == sorted((t or "", t is None) for _, t in ROWS)

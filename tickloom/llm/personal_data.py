@@ -5,10 +5,8 @@ its own shape: every letter by a letter of the same alphabet and case, every dig
 depending on the key and on all other characters; punctuation stays. So equal entities get equal
 surrogates wherever they stand, and different entities of one shape different ones. Addresses of the
 Internet are permuted as numbers, so that they stay valid; card numbers keep a valid check digit;
-personal names after a title are drawn from lists by the title's gender.
-
-Where two entities could still meet (names), the surrogates of all distinct ones are compared, and
-those that collide are drawn again.
+personal names after a title are permuted word by word, the given name with an ending by the title's
+gender. No step maps two entities of a kind to one surrogate, so nothing has to be compared or redrawn.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise, read, text_column
+from tickloom.llm.common import read
 from tickloom.llm.decontamination import let
 
 # Patterns of the kinds, in the order in which they are tried.
@@ -34,15 +32,13 @@ KINDS = {
 # Alphabets within which characters are exchanged.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 HEX = "0123456789abcdef"
-# Given names by gender and family names.
-FEMALE = "Alice Anna Clara Elena Emma Eva Helene Ida Irene Julia Laura Lena Lucia Maria Marta Nora Olga Paula Rosa Sofia Teresa Vera".split()
-MALE = "Adam Bruno Carl Daniel David Emil Felix Hugo Ivan Jakob Jonas Leon Lukas Martin Max Oskar Paul Peter Robert Simon Thomas Viktor".split()
-FAMILY = ("Al Ber Cor Dal Fen Gar Hol Jan Kel Lor Mar Nor Pel Quin Ros San Tor Val Wen Zel".split(), "a e i o u an en in on er".split(), "bach berg dahl feld ford heim land lund man mont ner rini sen son stad ström ton vall ville wood".split())
+# Alphabets of names; names with other letters are spelt in the letters of their bytes, after a mark that no name has.
+NAME_ALPHABETS = (*ALPHABETS[1:], "àáâãäåæèéêëìíîïòóôõöøùúûüýœ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝŒ", "çñßšžčćłńśźżřťďňğş", "ÇÑŠŽČĆŁŃŚŹŻŘŤĎŇĞŞ")
+SPELT = "O'"
 
 COMBINED = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Cheaper than the patterns: what every entity has (a digit, an at sign, a title, a long word after "=").
 HINT = r"[0-9@=]|M(?:r|s|rs|adame|onsieur)\b|Herr|Frau|Señora?"
-BROADCAST_REPAIRS = 100_000
 
 
 def kind_of(entity: Column) -> Column:
@@ -117,22 +113,19 @@ def _card(entity: Column, key: str) -> Column:
     return let(entity, then)
 
 
-def _name(entity: Column, title: Column, key: str, attempt: Column) -> Column:
-    """A given name of the title's gender for the first of two words, and a family name."""
-    family = F.regexp_extract(entity, r"(\S+)$", 1)
-    n = _number(F.lit(key), F.lit("family"), family, attempt)
-    parts = [F.array(*map(F.lit, p)) for p in FAMILY]
-    made = F.concat(parts[0][(n % len(FAMILY[0])).cast("int")], parts[1][(F.floor(n / 97) % len(FAMILY[1])).cast("int")], parts[2][(F.floor(n / 9973) % len(FAMILY[2])).cast("int")])
-    made = F.concat(made, F.when(attempt == "0", "").otherwise(F.translate(attempt, "123456789", "aeiouaeio")))
-    given = F.regexp_extract(entity, r"^(\S+) ", 1)
-    g = _number(F.lit(key), F.lit("given"), given)
-    female, male = (F.array(*map(F.lit, x))[(g % len(x)).cast("int")] for x in (FEMALE, MALE))
-    drawn = F.when(title.rlike("^(Mrs|Ms|Frau|Señora|Madame)"), female).otherwise(male)
-    return F.when(given == "", made).otherwise(F.concat_ws(" ", drawn, made))
+def _name(entity: Column, title: Column, key: str) -> Column:
+    """The words of a name, each permuted; a given name (the first of two) ends by the title's gender."""
+    spelling = lambda w: F.concat(F.lit(SPELT), F.initcap(F.translate(F.lower(F.hex(F.encode(w, "UTF-8"))), HEX, "abcdefghijklmnop")))
+    plain = f"^[{''.join(NAME_ALPHABETS)}]+$"
+    new = lambda w, tag: permuted(F.when(w.rlike(plain), w).otherwise(spelling(w)), key, tag, NAME_ALPHABETS)
+    # the mark is permuted to itself but for its letter: one apostrophe, which no other name has
+    ending = F.when(title.rlike("^(Mrs|Ms|Frau|Señora|Madame)"), "a").otherwise("o")
+    family, given = F.regexp_extract(entity, r"(\S+)$", 1), F.regexp_extract(entity, r"^(\S+) ", 1)
+    return F.when(given == "", new(family, "family")).otherwise(F.concat(new(given, "given"), ending, F.lit(" "), new(family, "family")))
 
 
-def surrogate(entity: Column, kind: Column, title: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity; ``attempt`` (as text) changes a name's where two have met."""
+def surrogate(entity: Column, kind: Column, title: Column, key: str) -> Column:
+    """The surrogate of an entity."""
     host = r"^(.*)(\.[A-Za-z]{2,})$"
     email = F.concat(permuted(F.regexp_extract(entity, host, 1), key, "email"), F.regexp_extract(entity, host, 2))
     phone = F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 1)
@@ -140,7 +133,7 @@ def surrogate(entity: Column, kind: Column, title: Column, key: str, attempt: Co
     secret = F.when(entity.rlike("^[0-9a-f]+$"), permuted(entity, key, "hex", (HEX,))).otherwise(permuted(entity, key, "secret"))
     return (
         F.when(kind == "email", email).when(kind == "ip", _ip(entity, key)).when(kind == "card", _card(entity, key)).when(kind == "ssn", permuted(entity, key, "ssn"))
-        .when(kind == "phone", F.concat(phone, permuted(rest, key, "phone"))).when(kind == "name", _name(entity, title, key, attempt)).otherwise(secret)
+        .when(kind == "phone", F.concat(phone, permuted(rest, key, "phone"))).when(kind == "name", _name(entity, title, key)).otherwise(secret)
     )
 
 
@@ -154,47 +147,18 @@ def _found(text: Column) -> Column:
     return let(parts, lambda p: F.struct(p.alias("parts"), F.transform(entities, lambda e, i: of(e, p[i])).alias("entities")))
 
 
-def _repairs(entities: DataFrame, key: str, rounds: int) -> DataFrame:
-    """``entity, kind, title, attempt`` of those entities that would meet another's surrogate."""
-    open_, kept = entities.select("entity", "kind", "title", F.lit("0").alias("attempt")), None
-    for k in range(rounds):
-        drawn = open_.withColumn("out", _name(F.col("entity"), F.col("title"), key, F.col("attempt")))
-        least = drawn.groupBy("kind", "out").agg(F.min("entity").alias("first"))
-        met = drawn.join(least, ["kind", "out"]).where(F.col("entity") != F.col("first"))
-        met = materialise(met.select("entity", "kind", "title", F.lit(str(k + 1)).alias("attempt")), "met")
-        kept = met if kept is None else kept.unionByName(met)
-        if met.isEmpty():
-            break
-        open_ = met
-    return kept.groupBy("entity", "kind", "title").agg(F.max("attempt").alias("attempt"))
-
-
 def replace_personal_data(docs: DataFrame, key: str, rounds: int = 4, counts: bool = True) -> DataFrame:
     """``docs`` with surrogates in ``text`` and, with ``counts``, ``n_entities`` and ``kinds``.
 
     The same entity gets the same surrogate in every row, whatever stands around it; distinct ones of
     a kind stay distinct. Null texts stay null, with no entities; empty tables stay empty; repeated rows
     change alike; other columns are kept, those named ``n_entities`` or ``kinds`` are replaced.
+    ``rounds`` has no effect: no surrogate is drawn again.
     """
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     some = F.col("text").rlike(HINT)
     parsed = docs.select(*names, F.explode(F.array(F.when(some, _found(F.col("text"))))).alias("found"))
-    titled = F.col("text").rlike(r"\b(?:Mrs?|Ms|Herr|Frau|Señora?|Madame|Monsieur)\.? \p{Lu}")
-    entities = docs.where(titled).select(F.explode(F.array(_found(text_column(docs)))).alias("found")).select(F.explode("found.entities").alias("e")).select("e.*")
-    gendered = F.when(F.col("kind") == "name", F.col("title")).otherwise("")
-    # only names can meet: the surrogates of other kinds are permutations
-    repairs = _repairs(entities.where("kind = 'name'").select("entity", "kind", gendered.alias("title")).distinct(), key, rounds)
-    repairs = materialise(repairs, "repairs")
-    n = repairs.count()
-    if n > BROADCAST_REPAIRS:
-        raise ValueError(f"{n} of the names meet: the lists of names are too short for this corpus")
-    if n:
-        table = repairs.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity", "title"), "attempt"))).alias("attempts"))
-        parsed = parsed.crossJoin(F.broadcast(table))  # one row
-        attempt = lambda e: F.coalesce(F.col("attempts")[F.concat_ws("\x1f", e["kind"], e["entity"], F.when(e["kind"] == "name", e["title"]).otherwise(""))], F.lit("0"))
-    else:
-        attempt = lambda e: F.lit("0")
-    new = F.transform(F.col("found.entities"), lambda e: surrogate(e["entity"], e["kind"], e["title"], key, attempt(e)))
+    new = F.transform(F.col("found.entities"), lambda e: surrogate(e["entity"], e["kind"], e["title"], key))
     joined = let(new, lambda s: F.concat_ws("", F.transform(F.col("found.parts"), lambda p, i: F.concat(p, F.coalesce(F.get(s, i), F.lit(""))))))
     out = {c: F.col(c) for c in names} | {"text": F.when(F.size(F.coalesce(F.col("found.entities"), F.array().cast("array<struct<entity:string,kind:string,title:string>>"))) > 0, joined).otherwise(F.col("text"))}
     more = [F.coalesce(F.size("found.entities"), F.lit(0)).alias("n_entities"), F.array_distinct(F.coalesce(F.col("found.entities.kind"), F.array().cast("array<string>"))).alias("kinds")] if counts else []
