@@ -106,3 +106,20 @@ def test_sadf_against_plain_regressions(spark):
             e = t[s:end] - x[s:end] @ beta
             best = max(best, beta[0] / np.sqrt(np.linalg.inv(x[s:end].T @ x[s:end])[0, 0] * (e @ e) / (end - s - 4)))
         assert got[end + 1] == pytest.approx(best, rel=1e-4)
+
+
+def test_bootstraps_cover_every_symbol_and_label(spark, sf_dir):
+    from tickloom.plans import queries
+    from tickloom.sources import market
+
+    bars = {r.symbol: r.n for r in market.daily_bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    spans = queries._spans(spark, sf_dir).collect()
+    assert {s: sum(r.symbol == s for r in spans) for s in bars} == bars and len(bars) == 3
+    assert all(r.i1 == min(r.i0 + 20, bars[r.symbol] - 1) for r in spans)
+    drawn = queries.QUERIES["sequential_bootstrap"](spark, sf_dir).collect()
+    assert {(r.symbol, r.seed) for r in drawn} == {(s, k) for s in bars for k in (1, 2, 3)} and len(drawn) == 9 * 50
+    assert all(0 <= r.pick < bars[r.symbol] for r in drawn)
+    assert len(queries.QUERIES["bootstrap_uniqueness"](spark, sf_dir).collect()) == 12
+    # symbols do not mix: one alone gives the same draws
+    alone = queries.L.sequential_bootstrap(queries._spans(spark, sf_dir).where("symbol = 'R'"), 50, [1]).collect()
+    assert sorted((r.nth, r.pick) for r in alone) == sorted((r.nth, r.pick) for r in drawn if r.symbol == "R" and r.seed == 1)

@@ -184,30 +184,30 @@ def indicator(events: DataFrame) -> DataFrame:
 
 
 def sequential_bootstrap(spans: DataFrame, draws: int, seeds: list[int]) -> DataFrame:
-    """``seed, nth, pick``: labels drawn one after another, by their mean uniqueness given those drawn before.
+    """``symbol, seed, nth, pick``: labels drawn one after another, by their mean uniqueness given those drawn before.
 
-    One seed's draws depend on each other and are made in one task; seeds are drawn in parallel. The
-    spans (two positions a label) go to every task, so they have to be one model's training labels.
+    ``pick`` numbers a symbol's labels by ``i0, i1``. The draws of one symbol and seed depend on each
+    other and are made in one task; symbols and seeds are drawn in parallel.
     """
-    labels = spans.select("i0", "i1").orderBy("i0", "i1").toPandas()
-    low, high = labels["i0"].to_numpy(), labels["i1"].to_numpy()
-
-    def run(batches):
-        for pdf in batches:
-            for seed in pdf["id"].tolist():
-                u = np.random.RandomState(seed).random_sample(draws)
-                base = int(low.min())
-                c = np.zeros(int(high.max()) - base + 1)
-                picks = []
-                for x in u:
-                    s = np.concatenate([[0], np.cumsum(1 / (c + 1))])
-                    score = (s[high - base + 1] - s[low - base]) / (high - low + 1)
-                    k = min(int(np.searchsorted(np.cumsum(score) / score.sum(), x)), len(low) - 1)
-                    c[low[k] - base : high[k] - base + 1] += 1
-                    picks.append(k)
-                yield pd.DataFrame({"seed": seed, "nth": np.arange(draws), "pick": picks})
-
-    return spans.sparkSession.createDataFrame([(s,) for s in seeds], "id long").repartition(len(seeds)).mapInPandas(run, "seed long, nth long, pick long")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        symbol, seed = key
+        pdf = pdf.sort_values(["i0", "i1"])
+        low, high = pdf["i0"].to_numpy(), pdf["i1"].to_numpy()
+        u = np.random.RandomState(seed).random_sample(draws)
+        base = int(low.min())
+        c = np.zeros(int(high.max()) - base + 1)
+        picks = []
+        for x in u:
+            s = np.concatenate([[0], np.cumsum(1 / (c + 1))])
+            score = (s[high - base + 1] - s[low - base]) / (high - low + 1)
+            k = min(int(np.searchsorted(np.cumsum(score) / score.sum(), x)), len(low) - 1)
+            c[low[k] - base : high[k] - base + 1] += 1
+            picks.append(k)
+        return pd.DataFrame({"symbol": symbol, "seed": seed, "nth": np.arange(draws), "pick": picks})
+
+    seeded = spans.select("symbol", "i0", "i1", F.explode(F.array(*(F.lit(x).cast("long") for x in seeds))).alias("seed"))
+    return seeded.groupBy("symbol", "seed").applyInPandas(run, "symbol string, seed long, nth long, pick long")
 
 
 def meta_label_filter(events: DataFrame, probability: Column, threshold: float) -> DataFrame:

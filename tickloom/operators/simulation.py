@@ -100,13 +100,10 @@ def rule_scores(rule_trades: DataFrame) -> DataFrame:
 
 
 def bootstrap_uniqueness(spans: DataFrame, draws: int, seeds: list[int]) -> DataFrame:
-    """Mean uniqueness of plain and of sequential draws, for each seed."""
+    """Mean uniqueness of plain and of sequential draws, for each symbol and seed."""
     from tickloom.operators.sampling import sequential_bootstrap
 
-    labels = spans.select("i0", "i1").orderBy("i0", "i1").toPandas()
-    low, high = labels["i0"].to_numpy(), labels["i1"].to_numpy()
-
-    def score(picks: np.ndarray) -> float:
+    def score(low: np.ndarray, high: np.ndarray, picks: np.ndarray) -> float:
         c = np.zeros(int(high.max()) + 2)
         np.add.at(c, low[picks], 1)
         np.add.at(c, high[picks] + 1, -1)
@@ -114,9 +111,11 @@ def bootstrap_uniqueness(spans: DataFrame, draws: int, seeds: list[int]) -> Data
         s = np.concatenate([[0], np.cumsum(np.divide(1, c, out=np.zeros_like(c), where=c > 0))])
         return float(((s[high[picks] + 1] - s[low[picks]]) / (high[picks] - low[picks] + 1)).mean())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = int(pdf["seed"].iloc[0])
-        plain = np.random.RandomState(seed).randint(0, len(low), draws)
-        return pd.DataFrame({"seed": [seed], "plain": [score(plain)], "sequential": [score(pdf.sort_values("nth")["pick"].to_numpy())]})
+    def run(key, labels: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        labels = labels.sort_values(["i0", "i1"])
+        low, high = labels["i0"].to_numpy(), labels["i1"].to_numpy()
+        out = [(key[0], seed, score(low, high, np.random.RandomState(seed).randint(0, len(low), draws)), score(low, high, d.sort_values("nth")["pick"].to_numpy())) for seed, d in drawn.groupby("seed")]
+        return pd.DataFrame(out, columns=["symbol", "seed", "plain", "sequential"])
 
-    return sequential_bootstrap(spans, draws, seeds).groupBy("seed").applyInPandas(run, "seed long, plain double, sequential double")
+    drawn = sequential_bootstrap(spans, draws, seeds).groupBy("symbol")
+    return spans.select("symbol", "i0", "i1").groupBy("symbol").cogroup(drawn).applyInPandas(run, "symbol string, seed long, plain double, sequential double")

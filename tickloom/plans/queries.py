@@ -117,7 +117,7 @@ def z_score_filter(spark, d):
 def _events(bars: DataFrame, step: int = 10, span: int = 20) -> DataFrame:
     """An event at every ``step``-th bar that lasts ``span`` bars, or to the end."""
     last = F.max("bar_idx").over(Window.partitionBy("symbol"))
-    e = bars.withColumn("last", last).where(F.col("bar_idx") % step == 5)
+    e = bars.withColumn("last", last).where(F.col("bar_idx") % step == 5 % step)
     return e.select("symbol", F.col("bar_idx").alias("i0"), F.col("ts").alias("t0"), F.when(F.col("bar_idx") + span <= F.col("last"), F.col("bar_idx") + span).alias("i1"))
 
 
@@ -220,7 +220,10 @@ def indicator_matrix(spark, d):
 
 
 def _spans(spark, d):
-    return _events(D.daily_bars(spark, d)).where("symbol = 'A' and i1 is not null")
+    """A label at every bar; those that the end of the series cuts end with its last bar."""
+    bars = D.daily_bars(spark, d)
+    last = F.max("i0").over(Window.partitionBy("symbol"))
+    return _events(bars, step=1).withColumn("i1", F.coalesce("i1", last))
 
 
 @query()
