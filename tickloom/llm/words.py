@@ -2,17 +2,22 @@
 
 Words are the runs of bytes outside space and 0x09-0x0D. The hash of a word is a polynomial of
 its bytes modulo 2**64 (from prefix sums, so that a whole column takes a few array operations),
-finished by a mixing step; the hash of a window is a polynomial of its words' hashes, mixed again.
+finished by a mixing step. Such polynomials fail for certain long words (those of the Thue-Morse
+sequence from some hundred bytes on), so that words of more than ``LONG`` bytes have a keyed BLAKE2
+digest instead. The hash of a window is a polynomial of its words' hashes, mixed again.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 from tickloom.llm.common import text_buffer
 
 _SLICE = 1 << 18
+LONG = 64
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,7 +44,7 @@ class _Family:
         table = mix(np.arange(256, dtype=_U), 1000 + seed) | _U(1)
         if lower:
             table[65:91] = table[97:123]
-        self.table = table
+        self.table, self.lower, self.seed = table, lower, seed
         self.base = (0x2545F4914F6CDD1D + 2 * 0x1000003 * seed * (seed + 7)) & 0xFFFFFFFFFFFFFFFF | 5
         self.back = pow(self.base, -1, 1 << 64)
         self.power, self.inverse = self._powers(self.base, _SLICE), self._powers(self.back, _SLICE)
@@ -66,7 +71,11 @@ class _Family:
             a, b = starts[first:last] - lo, ends[first:last] - lo
             out[first:last] = (sums[b] - sums[a]) * inverse[a]
             first = last
-        return mix(out)
+        out = mix(out)
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word.lower() if self.lower else word, digest_size=8, salt=self.seed.to_bytes(8, "little")).digest(), "little")
+        return out
 
 
 _FAMILIES: dict[tuple[int, bool], _Family] = {}
