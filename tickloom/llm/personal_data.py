@@ -2,7 +2,8 @@
 
 Each kind of entity has one pattern. Its characters are replaced by a keyed permutation of strings of
 its own shape: every letter by a letter of the same alphabet and case, every digit by a digit, both
-depending on the key and on all other characters; punctuation stays. So equal entities get equal
+depending on the key and on all other characters; punctuation stays. Telephone numbers are permuted
+by their digits alone and addresses of mail in lower case, before they get their form back. So equal entities get equal
 surrogates wherever they stand, and different entities of one shape different ones. Addresses of the
 Internet are permuted as numbers, so that they stay valid; card numbers keep a valid check digit;
 personal names after a title are permuted word by word, the given name with an ending by the title's
@@ -37,8 +38,10 @@ NAME_ALPHABETS = (*ALPHABETS[1:], "àáâãäåæèéêëìíîïòóôõöøù
 SPELT = "O'"
 
 COMBINED = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Cheaper than the patterns: what every entity has (a digit, an at sign, a title, a long word after "=").
-HINT = r"[0-9@=]|M(?:r|s|rs|adame|onsieur)\b|Herr|Frau|Señora?"
+#: Cheaper than the patterns: what every entity has (a digit, an at sign, a title, a long word after "=", a key's mark, letters of a hexadecimal key).
+HINT = r"[0-9@=]|AKIA|[a-f]{32}|M(?:r|s|rs|adame|onsieur)\b|Herr|Frau|Señora?"
+# Country codes of telephone numbers, of one, two and three digits.
+COUNTRY = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|)(.*)$"
 
 
 def kind_of(entity: Column) -> Column:
@@ -119,21 +122,40 @@ def _name(entity: Column, title: Column, key: str) -> Column:
     plain = f"^[{''.join(NAME_ALPHABETS)}]+$"
     new = lambda w, tag: permuted(F.when(w.rlike(plain), w).otherwise(spelling(w)), key, tag, NAME_ALPHABETS)
     # the mark is permuted to itself but for its letter: one apostrophe, which no other name has
-    ending = F.when(title.rlike("^(Mrs|Ms|Frau|Señora|Madame)"), "a").otherwise("o")
+    she = title.rlike("^(Mrs|Ms|Frau|Señora|Madame)")
     family, given = F.regexp_extract(entity, r"(\S+)$", 1), F.regexp_extract(entity, r"^(\S+) ", 1)
+    by_script = lambda latin, cyrillic, greek: F.when(given.rlike(r"[а-я]$"), cyrillic).when(given.rlike(r"[α-ω]$"), greek).otherwise(latin)
+    ending = F.when(she, by_script("a", "а", "α")).otherwise(by_script("o", "о", "ο"))
     return F.when(given == "", new(family, "family")).otherwise(F.concat(new(given, "given"), ending, F.lit(" "), new(family, "family")))
 
 
+def _refilled(form: Column, digits: Column) -> Column:
+    """``form`` with other digits in the places of its own."""
+    start = F.struct(F.lit("").alias("done"), F.lit(1).alias("at"))
+    step = lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["done"], F.substring(digits, s["at"], F.lit(1))).alias("done"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["done"], c).alias("done"), s["at"].alias("at")))
+    return F.aggregate(F.split(form, ""), start, step)["done"]
+
+
+def _phone(entity: Column, key: str) -> Column:
+    """The country code stays; the other digits are permuted whatever stands between them."""
+    rest = F.regexp_extract(entity, COUNTRY, 2)
+    return F.concat(F.regexp_extract(entity, COUNTRY, 1), let(permuted(F.regexp_replace(rest, r"\D", ""), key, "phone"), lambda d: _refilled(rest, d)))
+
+
+def _email(entity: Column, key: str) -> Column:
+    """All before the last domain is permuted in lower case; capitals stay where they were."""
+    host = r"^(.*)(\.[A-Za-z]{2,})$"
+    own = F.regexp_extract(entity, host, 1)
+    new = let(permuted(F.lower(own), key, "email"), lambda p: F.array_join(F.transform(F.split(own, ""), lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substring(p, i + 1, F.lit(1)))).otherwise(F.substring(p, i + 1, F.lit(1)))), ""))
+    return F.concat(new, F.regexp_extract(entity, host, 2))
+
+
 def surrogate(entity: Column, kind: Column, title: Column, key: str) -> Column:
     """The surrogate of an entity."""
-    host = r"^(.*)(\.[A-Za-z]{2,})$"
-    email = F.concat(permuted(F.regexp_extract(entity, host, 1), key, "email"), F.regexp_extract(entity, host, 2))
-    phone = F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 1)
-    rest = F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D)|\+\d)?(.*)$", 2)
     secret = F.when(entity.rlike("^[0-9a-f]+$"), permuted(entity, key, "hex", (HEX,))).otherwise(permuted(entity, key, "secret"))
     return (
-        F.when(kind == "email", email).when(kind == "ip", _ip(entity, key)).when(kind == "card", _card(entity, key)).when(kind == "ssn", permuted(entity, key, "ssn"))
-        .when(kind == "phone", F.concat(phone, permuted(rest, key, "phone"))).when(kind == "name", _name(entity, title, key)).otherwise(secret)
+        F.when(kind == "email", _email(entity, key)).when(kind == "ip", _ip(entity, key)).when(kind == "card", _card(entity, key)).when(kind == "ssn", permuted(entity, key, "ssn"))
+        .when(kind == "phone", _phone(entity, key)).when(kind == "name", _name(entity, title, key)).otherwise(secret)
     )
 
 
@@ -147,13 +169,14 @@ def _found(text: Column) -> Column:
     return let(parts, lambda p: F.struct(p.alias("parts"), F.transform(entities, lambda e, i: of(e, p[i])).alias("entities")))
 
 
-def replace_personal_data(docs: DataFrame, key: str, rounds: int = 4, counts: bool = True) -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
     """``docs`` with surrogates in ``text`` and, with ``counts``, ``n_entities`` and ``kinds``.
 
     The same entity gets the same surrogate in every row, whatever stands around it; distinct ones of
-    a kind stay distinct. Null texts stay null, with no entities; empty tables stay empty; repeated rows
-    change alike; other columns are kept, those named ``n_entities`` or ``kinds`` are replaced.
-    ``rounds`` has no effect: no surrogate is drawn again.
+    a kind stay distinct. A telephone number is the same however its digits are grouped, an address of
+    mail whatever its capitals; both keep their form. Null texts stay null and empty ones empty, with no
+    entities; very long texts are taken whole; empty tables stay empty; repeated rows change alike;
+    other columns are kept, those named ``n_entities`` or ``kinds`` are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     some = F.col("text").rlike(HINT)
