@@ -92,11 +92,18 @@ class SequenceReader:
             yield view
             first, n = first + len(view), n - len(view)
 
+    def mask_bits(self, i: int) -> tuple[np.ndarray, int]:
+        """The mask of row ``i`` as it lies in the file: a view of its bytes, and the bit of the first that it begins at."""
+        k, at = divmod(i * self.length, self.step)
+        bits = self.file.get_batch(k).column(1).values
+        first = bits.offset + at
+        return np.frombuffer(bits.buffers()[1], np.uint8)[first // 8 : -(-(first + self.length) // 8)], first % 8
+
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of row ``i``."""
+        """Ids of row ``i``, a view, and its mask, of which only the row's own bits are unpacked."""
         k, at = divmod(i * self.length, self.step)
-        mask = self.file.get_batch(k).column(1).flatten().to_numpy(zero_copy_only=False)
-        return self._tokens(k)[at : at + self.length], mask[at : at + self.length]
+        bits, first = self.mask_bits(i)
+        return self._tokens(k)[at : at + self.length], np.unpackbits(bits, bitorder="little")[first : first + self.length].astype(bool)
 
 
 def _writing(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
