@@ -142,6 +142,8 @@ _ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u4")])
 RUNS = "members array<long>, uid long, n long, sketch binary"
 #: Sets of which the link texts are found by a broadcast; more are joined by a shuffle of the texts.
 BROADCAST_SETS = 1_000_000
+#: Rows of larger groups that a broadcast takes out; beyond, a shuffle does.
+BROADCAST_ROWS = 500_000
 
 
 def _keyed(width: int, bands: Bands, segment_bits: int, flush: int):
@@ -435,9 +437,12 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, **option
     odd = grouped.join(chosen.where("rows > 1"), "root").select("_content", "_id", ((F.col("first._content") == F.col("_content")) & F.col("first._id").eqNullSafe(F.col("_id"))).alias("is_first"), "n")
     odd = materialise(odd.where("n > 1 or not is_first").select(F.col("_content").alias("odd_content"), F.col("_id").alias("odd_id"), "is_first"), "odd")
     same = (F.col("_content") == F.col("odd_content")) & F.col("_id").eqNullSafe(F.col("odd_id"))
+    firsts = odd.where("is_first")
+    if odd.count() <= BROADCAST_ROWS:
+        odd = F.broadcast(odd)
     kept = keyed.join(odd, same, "left_anti").select(*docs.columns)
     row = F.struct(*docs.columns)
-    one = keyed.join(odd.where("is_first"), same, "left_semi").groupBy("_content", "_id").agg(F.min_by(row, F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)).alias("row")).select("row.*")
+    one = keyed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, same, "left_semi").groupBy("_content", "_id").agg(F.min_by(row, F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)).alias("row")).select("row.*")
     return kept.unionByName(one).unionByName(docs.where(~has_words))
 
 
