@@ -54,7 +54,7 @@ class _Index(dict):
 class Encoder:
     """``cache_pieces`` and ``cache_chars`` bound the worker's cache, which starts anew beyond them."""
 
-    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 1_500_000, cache_chars: int = 24 << 20):
+    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 1_000_000, cache_chars: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
