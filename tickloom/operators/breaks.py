@@ -23,27 +23,29 @@ def chow(bars: DataFrame, min_length: int, log: bool = True) -> DataFrame:
     return d.where((F.col(IDX) >= min_length) & (F.col(IDX) < F.col("n") - min_length)).select(SYMBOL, "ts", IDX, (beta / F.sqrt(var)).alias("dfc"))
 
 
-def chu_stinchcombe_white(bars: DataFrame, one_sided: bool = True, log: bool = True) -> DataFrame:
-    """The largest standardised departure of each bar from any bar before, and its critical value.
+def chu_stinchcombe_white(bars: DataFrame, one_sided: bool = True, log: bool = True, standardised: bool = False) -> DataFrame:
+    """The largest scaled departure of each bar from any bar before, and its critical value.
 
-    Each bar meets all before it, by definition; one symbol's series goes to one task, which keeps a
-    row of departures at a time.
+    Departures are divided by the variance and the root of the distance; ``standardised``: by the root
+    of both, as in the textbook. Each bar meets all before it, by definition; one symbol's series goes
+    to one task, which keeps a row of departures at a time.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
-        y = np.log(pdf["close"].to_numpy()) if log else pdf["close"].to_numpy()
+        y = np.log(pdf["close"].to_numpy()) if log else pdf["close"].to_numpy(float)
         squares = np.cumsum(np.diff(y) ** 2)
-        s, crit = [None] * min(2, len(y)), [None] * min(2, len(y))
+        stat, crit = [None] * min(2, len(y)), [None] * min(2, len(y))
         for t in range(2, len(y)):
-            sigma = squares[t - 1] / (t - 1)
+            variance = squares[t - 1] / (t - 1)
             gap = np.arange(t, 0, -1)
             diff = y[t] - y[:t]
-            value = (diff if one_sided else np.abs(diff)) / np.sqrt(sigma * gap) if sigma > 0 else np.zeros(t)
+            scale = np.sqrt(variance * gap) if standardised else variance * np.sqrt(gap)
+            value = (diff if one_sided else np.abs(diff)) / scale if variance > 0 else np.zeros(t)
             k = int(value.argmax())
-            s.append(float(value[k]))
+            stat.append(float(value[k]))
             crit.append(float(np.sqrt(4.6 + np.log(gap[k]))))
-        return pdf[[SYMBOL, "ts", IDX]].assign(stat=s, critical=crit)
+        return pdf[[SYMBOL, "ts", IDX]].assign(stat=stat, critical=crit)
 
     return bars.select(SYMBOL, "ts", IDX, "close").groupBy(SYMBOL).applyInPandas(run, f"{SYMBOL} string, ts timestamp, {IDX} long, stat double, critical double")
 
@@ -69,30 +71,41 @@ def _regressors(y: np.ndarray, model: str, lags: int, constant: bool) -> tuple[n
     return np.stack(columns, axis=1), dy[rows]
 
 
-def sadf(bars: DataFrame, model: str = "linear", lags: int = 1, min_length: int = 20, constant: bool = True, phi: float = 0.0, log: bool = True) -> DataFrame:
+def sadf(bars: DataFrame, model: str = "linear", lags: int = 1, min_length: int = 20, constant: bool = True, phi: float = 0.0, log: bool = True, chunks: int = 8) -> DataFrame:
     """Largest Dickey-Fuller statistic over all starts, at each end.
 
     Normal equations are running sums, so that each start costs a small solve, not a pass over the
-    rows. Ends are dealt to tasks in chunks; each takes its symbol's series once.
+    rows. The ends of a symbol are dealt to ``chunks`` tasks, each of which takes the series once.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients, and the first diagonal element of the inverse, of many systems."""
+        right = np.zeros((*b.shape, 2))
+        right[:, :, 0], right[:, 0, 1] = b, 1
+        try:
+            got = np.linalg.solve(a, right)
+        except np.linalg.LinAlgError:
+            got = np.linalg.pinv(a) @ right
+        return got[:, :, 0], got[:, 0, 1]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
         y = np.log(pdf["close"].to_numpy()) if log else pdf["close"].to_numpy(float)
         if len(y) < min_length + lags + 2:
             return pdf.iloc[:0][[SYMBOL, "ts", IDX]].assign(sadf=pd.Series(dtype=float))
         x, target = _regressors(y, model, lags, constant)
+        if constant and not model.startswith("sm"):  # centred and scaled, which the first statistic does not depend on
+            ones = (x == 1).all(axis=0)
+            x = np.where(ones, x, (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1))
         xx = np.concatenate([np.zeros((1, x.shape[1], x.shape[1])), np.cumsum(x[:, :, None] * x[:, None, :], axis=0)])
         xy = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x * target[:, None], axis=0)])
         yy = np.concatenate([[0.0], np.cumsum(target**2)])
         at, out = [], []
-        for end in range(min_length, len(target) + 1):
+        for end in range(min_length + (key[1] - min_length) % chunks, len(target) + 1, chunks):
             starts = np.arange(0, end - min_length + 1)
             a, b, c, n = xx[end] - xx[starts], xy[end] - xy[starts], yy[end] - yy[starts], end - starts
-            inv = np.linalg.pinv(a)
-            beta = np.einsum("ijk,ik->ij", inv, b)
-            sse = np.maximum(c - np.einsum("ij,ij->i", beta, b), 0)
-            var = inv[:, 0, 0] * sse / np.maximum(n - x.shape[1], 1)
+            beta, inverse = solved(a, b)
+            var = inverse * np.maximum(c - np.einsum("ij,ij->i", beta, b), 0) / np.maximum(n - x.shape[1], 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 stat = beta[:, 0] / np.sqrt(var)
             stat = np.abs(stat) / n**phi if model.startswith("sm") else stat
@@ -101,7 +114,8 @@ def sadf(bars: DataFrame, model: str = "linear", lags: int = 1, min_length: int
             out.append(float(stat.max()) if len(stat) else None)
         return pdf.iloc[at][[SYMBOL, "ts", IDX]].assign(sadf=out)
 
-    return bars.select(SYMBOL, "ts", IDX, "close").groupBy(SYMBOL).applyInPandas(run, f"{SYMBOL} string, ts timestamp, {IDX} long, sadf double")
+    dealt = bars.select(SYMBOL, "ts", IDX, "close", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    return dealt.groupBy(SYMBOL, "chunk").applyInPandas(run, f"{SYMBOL} string, ts timestamp, {IDX} long, sadf double")
 
 
 def adf(bars: DataFrame, lags: int = 1, log: bool = True) -> DataFrame:

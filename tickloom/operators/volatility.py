@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.keys import IDX, SYMBOL, full, series
+from tickloom.keys import IDX, SYMBOL, full, series, trailing
 
 
 def period_returns(bars: DataFrame, interval: str = "1 day") -> DataFrame:
@@ -85,13 +85,16 @@ def lagged_returns(bars: DataFrame, lags: list[int], periods: int) -> DataFrame:
     return out.drop(*(f"{n}_{k}" for k in lags for n in ("raw", "lo", "hi")))
 
 
-def return_moments(bars: DataFrame, window: int) -> DataFrame:
-    """Rolling z-score, skewness and excess kurtosis of log returns, corrected for the sample."""
+def return_moments(bars: DataFrame, window: int, least: int = 3) -> DataFrame:
+    """Rolling z-score, skewness and excess kurtosis of log returns, corrected for the sample's size, from ``least`` values on."""
     d = bars.withColumn("r", F.ln(F.col("close") / F.lag("close").over(series())))
-    n = float(window)
-    g1, g2 = full(F.col("r"), F.skewness, window), full(F.col("r"), F.kurtosis, window)
-    z = (F.col("r") - full(F.col("r"), F.avg, window)) / F.nullif(full(F.col("r"), F.stddev_samp, window), F.lit(0.0))
-    return d.withColumns({"z": z, "skew": g1 * math.sqrt(n * (n - 1)) / (n - 2), "kurt": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)}).drop("r")
+    w = trailing(window)
+    n = F.count("r").over(w).cast("double")
+    some = lambda value, k: F.when(n >= max(k, least), value)
+    z = (F.col("r") - F.avg("r").over(w)) / F.nullif(F.stddev_samp("r").over(w), F.lit(0.0))
+    skew = F.skewness("r").over(w) * F.sqrt(n * (n - 1)) / (n - 2)
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("r").over(w) + 6)
+    return d.withColumns({"z": some(z, 2), "skew": some(skew, 3), "kurt": some(kurt, 4)}).drop("r")
 
 
 def garch_variance(bars: DataFrame, omega: float, alpha: float, beta: float) -> DataFrame:
@@ -106,7 +109,3 @@ def garch_variance(bars: DataFrame, omega: float, alpha: float, beta: float) ->
         return pdf[[SYMBOL, "ts", IDX]].assign(variance=v)
 
     return bars.select(SYMBOL, "ts", IDX, "close").groupBy(SYMBOL).applyInPandas(run, f"{SYMBOL} string, ts timestamp, {IDX} long, variance double")
-
-
-def symbol_total(value: Column, agg) -> Column:
-    return agg(value).over(Window.partitionBy(SYMBOL))

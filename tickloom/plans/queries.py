@@ -114,16 +114,16 @@ def z_score_filter(spark, d):
     return L.z_score_filter(D.events_close(spark, d), 50, 50, 1.5)
 
 
-def _events(bars: DataFrame, step: int = 10, span: int = 20) -> DataFrame:
-    """An event at every ``step``-th bar that lasts ``span`` bars, or to the end."""
+def _events(bars: DataFrame, span: int = 20) -> DataFrame:
+    """An event at every bar that lasts ``span`` bars, or to the end."""
     last = F.max("bar_idx").over(Window.partitionBy("symbol"))
-    e = bars.withColumn("last", last).where(F.col("bar_idx") % step == 5 % step)
+    e = bars.withColumn("last", last)
     return e.select("symbol", F.col("bar_idx").alias("i0"), F.col("ts").alias("t0"), F.when(F.col("bar_idx") + span <= F.col("last"), F.col("bar_idx") + span).alias("i1"))
 
 
-def ev(views: str, table: str, step: int = 10, span: int = 20) -> str:
+def ev(views: str, table: str, span: int = 20) -> str:
     return f"""{views}, px AS (SELECT *, max(bar_idx) OVER (PARTITION BY symbol) AS last FROM {table}),
-ev AS (SELECT symbol, bar_idx AS i0, ts AS t0, close AS p0, last, CASE WHEN bar_idx + {span} <= last THEN bar_idx + {span} END AS i1 FROM px WHERE bar_idx % {step} = 5)"""
+ev AS (SELECT symbol, bar_idx AS i0, ts AS t0, close AS p0, last, CASE WHEN bar_idx + {span} <= last THEN bar_idx + {span} END AS i1 FROM px)"""
 
 
 TOUCH = """, touch AS (SELECT e.symbol, e.i0, e.t0, e.p0, e.i1, min(CASE WHEN p.close / e.p0 - 1 <= -0.5 THEN p.bar_idx END) AS sl, min(CASE WHEN p.close / e.p0 - 1 >= 1.0 THEN p.bar_idx END) AS pt
@@ -138,7 +138,7 @@ def vertical_barriers(spark, d):
     return L.vertical_barriers(_events(bars).drop("i1"), bars, n_bars=20).select("symbol", "i0", "t0", "i1", "t1")
 
 
-@query(sql(ev(CLOSES, "closes"), "SELECT e.symbol, e.i0, e.t0, (SELECT min(p.ts) FROM px p WHERE p.symbol = e.symbol AND p.ts >= e.t0 + INTERVAL 6 HOUR) AS t1 FROM ev e", "symbol i0 t0 t1"))
+@query(sql(ev(CLOSES, "closes"), "SELECT e.symbol, e.i0, e.t0, p.ts AS t1 FROM ev e ASOF LEFT JOIN px p ON p.symbol = e.symbol AND p.ts >= e.t0 + INTERVAL 6 HOUR", "symbol i0 t0 t1"))
 def vertical_barriers_time(spark, d):
     bars = D.events_close(spark, d)
     return L.vertical_barriers(_events(bars).drop("i1"), bars, interval="6 hours").select("symbol", "i0", "t0", "t1")
@@ -223,7 +223,7 @@ def _spans(spark, d):
     """A label at every bar; those that the end of the series cuts end with its last bar."""
     bars = D.daily_bars(spark, d)
     last = F.max("i0").over(Window.partitionBy("symbol"))
-    return _events(bars, step=1).withColumn("i1", F.coalesce("i1", last))
+    return _events(bars).withColumn("i1", F.coalesce("i1", last))
 
 
 @query()
@@ -286,7 +286,7 @@ def lagged_returns(spark, d):
     return R.lagged_returns(D.daily_bars(spark, d), [1, 5], 1).select("symbol", "ts", "returns_1", "returns_5", "returns_1_lag_1", "returns_5_lag_1")
 
 
-@query(sql(BARS, f"SELECT symbol, ts, {roll('r', 30, 'skewness')} AS skew, {roll('r', 30, 'kurtosis')} AS kurt, (r - ({roll('r', 30)})) / nullif({roll('r', 30, 'stddev_samp')}, 0) AS z FROM (SELECT *, ln(close / lag(close) {W}) AS r FROM bars)", "symbol ts", "z skew kurt"))
+@query(sql(BARS, f"SELECT symbol, ts, CASE WHEN count(r) OVER w >= 3 THEN skewness(r) OVER w END AS skew, CASE WHEN count(r) OVER w >= 4 THEN kurtosis(r) OVER w END AS kurt, CASE WHEN count(r) OVER w >= 3 THEN (r - avg(r) OVER w) / nullif(stddev_samp(r) OVER w, 0) END AS z FROM (SELECT *, ln(close / lag(close) {W}) AS r FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", "symbol ts", "z skew kurt"))
 def return_moments(spark, d):
     return R.return_moments(D.daily_bars(spark, d), 30).select("symbol", "ts", "z", "skew", "kurt")
 
@@ -451,21 +451,23 @@ def chow_breaks(spark, d):
     return K.chow(D.daily_bars(spark, d), 20)
 
 
-THIN = f"{BARS}, thin AS (SELECT symbol, ts, bar_idx // 10 AS bar_idx, close FROM bars WHERE bar_idx % 10 = 0)"
+def _csw(value: str) -> str:
+    return sql(BARS, f"SELECT t.symbol, t.bar_idx, max({value}) AS stat, sqrt(4.6 + ln(arg_max(t.bar_idx - n.bar_idx, {value}))) AS critical FROM (SELECT *, sum(d * d) {W} / nullif(bar_idx - 1, 0) AS s2 FROM (SELECT *, ln(close) - lag(ln(close)) {W} AS d FROM bars)) t JOIN bars n ON n.symbol = t.symbol AND n.bar_idx < t.bar_idx WHERE t.bar_idx >= 2 GROUP BY t.symbol, t.bar_idx", "symbol bar_idx", "stat critical")
 
 
-def _thin(spark, d):
-    return D.daily_bars(spark, d).where("bar_idx % 10 = 0").withColumn("bar_idx", F.floor(F.col("bar_idx") / 10).cast("long"))
+@query(_csw("1 / (s2 * sqrt(t.bar_idx - n.bar_idx)) * (ln(t.close) - ln(n.close))"))
+def chu_stinchcombe_white(spark, d):
+    return K.chu_stinchcombe_white(D.daily_bars(spark, d)).where("stat is not null").select("symbol", "bar_idx", "stat", "critical")
 
 
-@query(sql(THIN, f"SELECT t.symbol, t.bar_idx, max((ln(t.close) - ln(n.close)) / sqrt(t.s / (t.bar_idx - 1) * (t.bar_idx - n.bar_idx))) AS stat FROM (SELECT *, sum(d * d) {W} AS s FROM (SELECT *, ln(close) - lag(ln(close)) {W} AS d FROM thin)) t JOIN thin n ON n.symbol = t.symbol AND n.bar_idx < t.bar_idx WHERE t.bar_idx >= 2 GROUP BY t.symbol, t.bar_idx", "symbol bar_idx", "stat"))
-def chu_stinchcombe_white(spark, d):
-    return K.chu_stinchcombe_white(_thin(spark, d)).where("stat is not null").select("symbol", "bar_idx", "stat")
+@query(_csw("abs(ln(t.close) - ln(n.close)) / sqrt(s2 * (t.bar_idx - n.bar_idx))"))
+def chu_stinchcombe_white_two_sided(spark, d):
+    return K.chu_stinchcombe_white(D.daily_bars(spark, d), one_sided=False, standardised=True).where("stat is not null").select("symbol", "bar_idx", "stat", "critical")
 
 
 @query()
 def sadf(spark, d):
-    return K.sadf(_thin(spark, d))
+    return K.sadf(D.daily_bars(spark, d))
 
 
 @query()
@@ -494,7 +496,15 @@ def flattening_and_flips(spark, d):
     return T.flips(_positions(spark, d)).select("symbol", "ts", "pos")
 
 
-@query()
+HELD = f"""{POS}, fold AS (SELECT symbol, bar_idx, pos, 0.0::DOUBLE AS since, 0.0::DOUBLE AS held, 0.0::DOUBLE AS closed FROM pos WHERE bar_idx = 0
+  UNION ALL SELECT n.symbol, n.bar_idx, n.pos,
+    CASE WHEN n.pos * f.pos < 0 THEN n.days WHEN abs(n.pos) > abs(f.pos) THEN (f.since * abs(f.pos) + n.days * (abs(n.pos) - abs(f.pos))) / abs(n.pos) ELSE f.since END,
+    CASE WHEN n.pos * f.pos < 0 THEN (n.days - f.since) * abs(f.pos) WHEN abs(n.pos) < abs(f.pos) THEN (n.days - f.since) * (abs(f.pos) - abs(n.pos)) ELSE 0 END,
+    CASE WHEN n.pos * f.pos < 0 THEN abs(f.pos) WHEN abs(n.pos) < abs(f.pos) THEN abs(f.pos) - abs(n.pos) ELSE 0 END
+  FROM fold f JOIN (SELECT *, date_diff('microsecond', min(ts) OVER (PARTITION BY symbol), ts) / 86400000000 AS days FROM pos) n ON n.symbol = f.symbol AND n.bar_idx = f.bar_idx + 1)"""
+
+
+@query(sql(HELD, "SELECT symbol, sum(held) / nullif(sum(closed), 0) AS days FROM fold GROUP BY symbol", "symbol", "days", recursive=True))
 def average_holding_period(spark, d):
     return T.holding_period(_positions(spark, d))
 
@@ -575,10 +585,15 @@ def haircut_sharpe(spark, d):
     return T.haircuts(_sharpe_tests(spark, d).select("symbol", "sharpe"), 1000)
 
 
-@query(sql(ev(BARS, "bars", 25, 10), "SELECT p.symbol, p.ts, CASE WHEN EXISTS (SELECT 1 FROM ev e WHERE e.symbol = p.symbol AND p.bar_idx >= e.i0 AND p.bar_idx < coalesce(e.i1, e.last + 1)) THEN 1.0 ELSE 0.0 END AS pos FROM px p", "symbol ts", "pos"))
+ENTRY = f"(SELECT *, lag(side) {W} AS b, max(bar_idx) OVER (PARTITION BY symbol) AS last FROM {SIDE})"
+
+
+@query(sql(BARS + f", en AS (SELECT symbol, bar_idx, side, CASE WHEN bar_idx + 10 <= last THEN bar_idx + 10 END AS i1 FROM {ENTRY} WHERE side <> 0 AND side IS DISTINCT FROM b)", f"SELECT symbol, ts, coalesce(last_value(x IGNORE NULLS) {W}, 0)::DOUBLE AS pos FROM (SELECT p.symbol, p.ts, p.bar_idx, coalesce(s.side, CASE WHEN f.i1 IS NOT NULL THEN 0 END) AS x FROM bars p LEFT JOIN en s ON s.symbol = p.symbol AND s.bar_idx = p.bar_idx LEFT JOIN (SELECT DISTINCT symbol, i1 FROM en) f ON f.symbol = p.symbol AND f.i1 = p.bar_idx)", "symbol ts", "pos"))
 def positions_from_events(spark, d):
     bars = D.daily_bars(spark, d)
-    e = L.vertical_barriers(_events(bars, 25, 10).drop("i1"), bars, n_bars=10).withColumn("side", F.lit(1)).withColumn("t1", F.coalesce("t1", F.lit("2999-01-01").cast("timestamp")))
+    c = X.crossovers(bars, 5, 20)
+    starts = X.entries(c, F.col("side")).select("symbol", F.col("bar_idx").alias("i0"), F.col("ts").alias("t0"), "side")
+    e = L.vertical_barriers(starts, bars, n_bars=10).withColumn("t1", F.coalesce("t1", F.lit("2999-01-01").cast("timestamp")))
     return T.positions_from_events(bars, e).select("symbol", "ts", "pos")
 
 
@@ -737,12 +752,12 @@ def backtest_model(spark, d):
     return G.backtest(c, 0.0001).select("symbol", "ts", "net", "equity")
 
 
-@query(sql(ev(CLOSES, "closes", 50, 20) + TOUCH.format(ev="ev"), "SELECT symbol, i0, ret / 100 - 0.0002 AS net, exp(sum(ln(1 + ret / 100 - 0.0002)) OVER (PARTITION BY symbol ORDER BY t1, i0)) AS equity FROM lab", "symbol i0", "net equity"))
+@query(sql(ev(BARS, "bars") + TOUCH.format(ev="ev").replace("-0.5", "-0.1").replace("1.0 THEN", "0.2 THEN"), "SELECT symbol, i0, ret / 10000 - 0.000002 AS net, exp(sum(ln(1 + ret / 10000 - 0.000002)) OVER (PARTITION BY symbol ORDER BY t1, i0)) AS equity FROM lab", "symbol i0", "net equity"))
 def backtest_with_labels(spark, d):
-    bars = D.events_close(spark, d)
-    touched = L.triple_barrier_events(_events(bars, 50).withColumn("trgt", F.lit(0.5)), bars, 2.0, 1.0)
-    lab = L.barrier_labels(touched, bars).withColumn("ret", F.col("ret") / 100)
-    return G.labelled_backtest(lab, 0.0001).select("symbol", "i0", "net", "equity")
+    bars = D.daily_bars(spark, d)
+    touched = L.triple_barrier_events(_events(bars).withColumn("trgt", F.lit(0.1)), bars, 2.0, 1.0)
+    lab = L.barrier_labels(touched, bars).withColumn("ret", F.col("ret") / 10000)
+    return G.labelled_backtest(lab, 0.000001).select("symbol", "i0", "net", "equity")
 
 
 @query(sql(BARS, f"SELECT symbol, phi, sqrt(greatest(xx - 2 * phi * xb + phi * phi * bb, 0) / n) AS sigma, -ln(2) / ln(phi) AS half_life FROM (SELECT symbol, least(greatest(sum(x * b) / sum(b * b), 0.001), 0.999) AS phi, sum(x * b) AS xb, sum(b * b) AS bb, sum(x * x) AS xx, count(*) AS n FROM (SELECT *, lag(x) {W} AS b FROM (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS x FROM bars)) WHERE b IS NOT NULL GROUP BY symbol)", "symbol", "phi sigma half_life"))
@@ -763,7 +778,7 @@ def barrier_simulation(spark, d):
 RULES = [(0.5, 0.3), (1.0, 0.5)]
 
 
-@query(sql(ev(CLOSES, "closes", 50, 20) + ", ru AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.3::DOUBLE), (1.0, 0.5)) t(pt, sl))", "SELECT symbol, i0, pt, sl, CASE WHEN u IS NOT NULL AND (dn IS NULL OR u < dn) THEN pt WHEN dn IS NOT NULL THEN -sl ELSE last_r END AS ret FROM (SELECT e.symbol, e.i0, r.pt, r.sl, min(CASE WHEN p.close / e.p0 - 1 >= r.pt THEN p.bar_idx END) AS u, min(CASE WHEN p.close / e.p0 - 1 <= -r.sl THEN p.bar_idx END) AS dn, arg_max(p.close / e.p0 - 1, p.bar_idx) AS last_r FROM ev e CROSS JOIN ru r JOIN px p ON p.symbol = e.symbol AND p.bar_idx BETWEEN e.i0 + 1 AND e.i0 + 20 GROUP BY ALL)", "symbol i0", "pt sl ret"))
+@query(sql(ev(CLOSES, "closes") + ", ru AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.3::DOUBLE), (1.0, 0.5)) t(pt, sl))", "SELECT symbol, i0, pt, sl, CASE WHEN u IS NOT NULL AND (dn IS NULL OR u < dn) THEN pt WHEN dn IS NOT NULL THEN -sl ELSE last_r END AS ret FROM (SELECT e.symbol, e.i0, r.pt, r.sl, min(CASE WHEN p.close / e.p0 - 1 >= r.pt THEN p.bar_idx END) AS u, min(CASE WHEN p.close / e.p0 - 1 <= -r.sl THEN p.bar_idx END) AS dn, arg_max(p.close / e.p0 - 1, p.bar_idx) AS last_r FROM ev e CROSS JOIN ru r JOIN px p ON p.symbol = e.symbol AND p.bar_idx BETWEEN e.i0 + 1 AND e.i0 + 20 GROUP BY ALL)", "symbol i0", "pt sl ret"))
 def trading_rule_grid(spark, d):
     bars = D.events_close(spark, d)
-    return G.trading_rule_grid(_events(bars, 50).withColumn("side", F.lit(1)), bars, RULES, 20)
+    return G.trading_rule_grid(_events(bars).withColumn("side", F.lit(1)), bars, RULES, 20)

@@ -45,7 +45,8 @@ def access_report(log: DataFrame) -> DataFrame:
 
 
 def events_ticks(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Trades of the event stream; those without a positive price are no trades."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 0")
     return e.select(F.col(symbol).cast("string").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("int") + 1).cast("double").alias("volume"))
 
 
@@ -68,7 +69,7 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views in SQL, as common table expressions.
 CTE = {
-    "ticks": "ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, CAST(CAST(json_extract_string(props, '$.k') AS INT) + 1 AS DOUBLE) AS volume FROM events)",
+    "ticks": "ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, CAST(CAST(json_extract_string(props, '$.k') AS INT) + 1 AS DOUBLE) AS volume FROM events WHERE value > 0)",
     "quotes": "quotes AS (SELECT *, price - 0.005 * (1 + seq % 5) AS bid, price + 0.005 * (1 + seq % 5) AS ask FROM ticks)",
     "closes": "closes AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS bar_idx, price AS close FROM ticks)",
     "bars": """trades AS (SELECT l_returnflag AS symbol, l_shipdate AS ts, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k, l_extendedprice / l_quantity AS p, l_quantity AS q FROM lineitem),
