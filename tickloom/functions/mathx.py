@@ -31,6 +31,22 @@ def norm_cdf_sql(z: str) -> str:
     return f"((1 + sign({z}) * (1 - {poly} * exp(-{x} * {x}))) / 2)"
 
 
+def norm_sf(z: Column) -> Column:
+    """The upper tail of the normal distribution for ``z`` from 0 on, good to its last digits: a series up to 3, a continued fraction beyond."""
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    steps = F.sequence(F.lit(60), F.lit(1))
+    near = F.aggregate(steps, F.lit(1.0), lambda s, k: 1 + z * z / (2 * k + 1) * s)
+    far = F.aggregate(steps, z.cast("double"), lambda s, k: z + k / s)
+    return F.when(z < 3, 0.5 - density * z * near).otherwise(density / far)
+
+
+def norm_sf_sql(z: str) -> str:
+    density, steps = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))", "[CAST(61 - k AS DOUBLE) FOR k IN range(1, 61)]"
+    near = f"list_reduce({steps}, lambda s, k: 1 + ({z}) * ({z}) / (2 * k + 1) * s, 1::DOUBLE)"
+    far = f"list_reduce({steps}, lambda s, k: ({z}) + k / s, ({z})::DOUBLE)"
+    return f"(CASE WHEN ({z}) < 3 THEN 0.5 - {density} * ({z}) * {near} ELSE {density} / {far} END)"
+
+
 def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.mathx import norm_cdf_sql
+from tickloom.functions.mathx import norm_cdf_sql, norm_ppf, norm_sf_sql
 from tickloom.keys import series
 from tickloom.operators import bars as B
 from tickloom.operators import bets as S
@@ -244,7 +244,9 @@ def period_returns(spark, d):
     return R.period_returns(D.events_close(spark, d)).select("symbol", "bar_idx", "ts", "ret")
 
 
-@query()
+@query(sql(CLOSES, f"""SELECT symbol, bar_idx, ts, sqrt(greatest(w2 / w0 - (w1 / w0) ** 2, 0) * w0 * w0 / nullif(w0 * w0 - q, 0)) AS vol FROM (
+  SELECT symbol, bar_idx, ts, sum(u) {W} AS w0, sum(u * ret) {W} AS w1, sum(u * ret * ret) {W} AS w2, sum(u * u) {W} AS q FROM (
+    SELECT *, (99 / 101.0) ** -row_number() {W} AS u FROM (SELECT c.symbol, c.bar_idx, c.ts, c.close / p.close - 1 AS ret FROM closes c ASOF JOIN closes p ON p.symbol = c.symbol AND p.ts < c.ts - INTERVAL 1 DAY)))""", "symbol bar_idx ts", "vol"))
 def daily_volatility(spark, d):
     return R.period_volatility(D.events_close(spark, d)).select("symbol", "bar_idx", "ts", "vol")
 
@@ -291,7 +293,11 @@ def return_moments(spark, d):
     return R.return_moments(D.daily_bars(spark, d), 30).select("symbol", "ts", "z", "skew", "kurt")
 
 
-@query()
+GARCH = f"""{BARS}, ch AS (SELECT *, close / lag(close) {W} - 1 AS r FROM bars), fold AS (SELECT symbol, ts, bar_idx, coalesce((SELECT var_pop(r) FROM ch x WHERE x.symbol = ch.symbol), 0) AS variance FROM ch WHERE bar_idx = 0
+  UNION ALL SELECT n.symbol, n.ts, n.bar_idx, 0.01 + 0.1 * coalesce(b.r, 0) ** 2 + 0.85 * f.variance FROM fold f JOIN ch b ON b.symbol = f.symbol AND b.bar_idx = f.bar_idx JOIN ch n ON n.symbol = f.symbol AND n.bar_idx = f.bar_idx + 1)"""
+
+
+@query(sql(GARCH, "SELECT * FROM fold", "symbol ts bar_idx", "variance", recursive=True))
 def garch_variance(spark, d):
     return R.garch_variance(D.daily_bars(spark, d), 0.01, 0.1, 0.85)
 
@@ -340,12 +346,36 @@ def frac_diff_ffd(spark, d):
     return X.frac_diff_ffd(D.daily_bars(spark, d), 0.5, 0.02).select("symbol", "ts", "ffd")
 
 
-@query()
+FRAC = f"""{BARS}, wt AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4 - k) / (k + 1) FROM wt WHERE k < 6000), sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol),
+cut AS (SELECT symbol, n, k, sum(abs(w)) OVER (PARTITION BY symbol ORDER BY k DESC) / sum(abs(w)) OVER (PARTITION BY symbol) AS lost FROM sizes JOIN wt ON k < n)"""
+
+
+@query(sql(FRAC, "SELECT b.symbol, b.ts, b.bar_idx, CASE WHEN c.lost > 0.01 THEN list_dot_product(ws[1:b.bar_idx + 1], ys[l.n - b.bar_idx:l.n]) END AS frac FROM bars b JOIN (SELECT symbol, count(*) AS n, list(ln(close) ORDER BY bar_idx DESC) AS ys FROM bars GROUP BY symbol) l USING (symbol) CROSS JOIN (SELECT list(w ORDER BY k) AS ws FROM wt) JOIN cut c ON c.symbol = b.symbol AND c.k = c.n - 1 - b.bar_idx", "symbol ts bar_idx", "frac", recursive=True))
 def frac_diff(spark, d):
     return X.frac_diff(D.daily_bars(spark, d), 0.4)
 
 
-@query()
+def _smooth(before: str, x: str, alpha: str) -> str:
+    """An exponential average that starts with its first value."""
+    return f"CASE WHEN {before} IS NULL THEN {x} WHEN {x} IS NULL THEN {before} ELSE {before} + {alpha} * ({x} - {before}) END"
+
+
+def _smoothed(f: str) -> str:
+    """Wilder's and exponential averages of one bar ``n`` after the state ``f``."""
+    return f"""SELECT n.symbol, n.ts, n.bar_idx, {_smooth(f + 'gain', 'greatest(n.move, 0)', '1 / 14.0')} AS gain, {_smooth(f + 'loss', 'greatest(-n.move, 0)', '1 / 14.0')} AS loss, {_smooth(f + 'tr', 'n.tr', '1 / 14.0')} AS tr,
+    {_smooth(f + 'plus', 'n.plus', '1 / 14.0')} AS plus, {_smooth(f + 'minus', 'n.minus', '1 / 14.0')} AS minus, {_smooth(f + 'fast', 'n.close', '2 / 13.0')} AS fast, {_smooth(f + 'slow', 'n.close', '2 / 27.0')} AS slow"""
+
+
+RAW = f"""raw AS (SELECT symbol, ts, bar_idx, close, move, tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus
+  FROM (SELECT *, close - lag(close) {W} AS move, high - lag(high) {W} AS up, lag(low) {W} - low AS down, greatest(high - low, abs(high - lag(close) {W}), abs(low - lag(close) {W})) AS tr FROM bars))"""
+STATE = f"""{BARS}, {RAW}, st AS (SELECT symbol, ts, bar_idx, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS DOUBLE) AS loss, tr::DOUBLE AS tr, plus::DOUBLE AS plus, minus::DOUBLE AS minus, close::DOUBLE AS fast, close::DOUBLE AS slow FROM raw WHERE bar_idx = 0
+  UNION ALL {_smoothed('f.')} FROM st f JOIN raw n ON n.symbol = f.symbol AND n.bar_idx = f.bar_idx + 1),
+dx AS (SELECT *, fast - slow AS line, CASE WHEN bar_idx >= 13 THEN 100 * abs(plus - minus) / nullif(plus + minus, 0) END AS dx FROM st),
+sg AS (SELECT symbol, bar_idx, line AS signal, dx AS adx, CASE WHEN dx IS NULL THEN 0 ELSE 1 END AS n FROM dx WHERE bar_idx = 0
+  UNION ALL SELECT n.symbol, n.bar_idx, f.signal + 0.2 * (n.line - f.signal), {_smooth('f.adx', 'n.dx', '1 / 14.0')}, f.n + CASE WHEN n.dx IS NULL THEN 0 ELSE 1 END FROM sg f JOIN dx n ON n.symbol = f.symbol AND n.bar_idx = f.bar_idx + 1)"""
+
+
+@query(sql(STATE, "SELECT d.symbol, d.ts, d.bar_idx, CASE WHEN d.bar_idx >= 14 AND loss > 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, CASE WHEN d.bar_idx >= 13 THEN tr END AS atr, line AS macd, signal AS macd_signal, CASE WHEN n >= 14 THEN adx END AS adx FROM dx d JOIN sg USING (symbol, bar_idx)", "symbol ts bar_idx", "rsi atr macd macd_signal adx", recursive=True))
 def technical_indicators(spark, d):
     return X.indicators(D.daily_bars(spark, d))
 
@@ -432,7 +462,13 @@ def plug_in_entropy(spark, d):
     return M.plug_in_entropy(M.encode_tick_rule(_indexed_ticks(spark, d)), 3)
 
 
-@query()
+MESSAGES = RULE + """, msg AS (SELECT symbol || '-' || CAST(bar_idx // 200 AS BIGINT) AS symbol, string_agg(CASE c WHEN 1 THEN 'b' WHEN -1 THEN 's' ELSE 'n' END, '' ORDER BY bar_idx) AS m FROM (SELECT *, coalesce(last_value(nullif(sign(d), 0) IGNORE NULLS) OVER (PARTITION BY symbol, bar_idx // 200 ORDER BY bar_idx), 0) AS c FROM (SELECT *, price - lag(price) OVER (PARTITION BY symbol, bar_idx // 200 ORDER BY bar_idx) AS d FROM idx)) GROUP BY ALL),
+ko AS (SELECT symbol, avg(log2(i + 1) / (longest + 1)) AS konto FROM (SELECT symbol, i, coalesce(min(CASE WHEN NOT found THEN l END), max(l) + 1) AS longest FROM (SELECT symbol, i, l, contains(substr(m, 1, i + l), substr(m, i + 1, l + 1)) AND i + l < length(m) AND l < i AS found FROM (SELECT *, unnest(range(0, i + 1)) AS l FROM (SELECT *, unnest(range(1, length(m) // 2 + 1)) AS i FROM msg))) GROUP BY symbol, i) GROUP BY symbol),
+lz AS (SELECT symbol, m, 0::BIGINT AS nth, '' AS phrase, []::VARCHAR[] AS seen FROM msg
+  UNION ALL SELECT symbol, m, nth + 1, CASE WHEN list_contains(seen, phrase || substr(m, nth + 1, 1)) THEN phrase || substr(m, nth + 1, 1) ELSE '' END, CASE WHEN list_contains(seen, phrase || substr(m, nth + 1, 1)) THEN seen ELSE list_append(seen, phrase || substr(m, nth + 1, 1)) END FROM lz WHERE nth < length(m))"""
+
+
+@query(sql(MESSAGES, "SELECT l.symbol, len(seen) / length(m) AS lempel_ziv, coalesce(konto, 0) AS konto FROM lz l LEFT JOIN ko USING (symbol) WHERE nth = length(m)", "symbol", "lempel_ziv konto", recursive=True))
 def message_entropies(spark, d):
     cut = M.encode_tick_rule(_indexed_ticks(spark, d).withColumn("symbol", F.concat_ws("-", "symbol", F.floor(F.col("bar_idx") / 200))))
     return M.message_entropies(cut)
@@ -470,7 +506,11 @@ def sadf(spark, d):
     return K.sadf(D.daily_bars(spark, d))
 
 
-@query()
+ADF = f"""{BARS}, reg AS (SELECT symbol, y - x AS dy, x, x - lag(x) {W} AS z FROM (SELECT symbol, bar_idx, ln(close) AS y, lag(ln(close)) {W} AS x FROM bars)),
+su AS (SELECT symbol, count(*) AS n, regr_sxx(x, x) AS xx, regr_sxx(z, z) AS zz, regr_syy(dy, dy) AS yy, regr_sxy(x, z) AS xz, regr_sxy(dy, x) AS xy, regr_sxy(dy, z) AS zy FROM reg WHERE z IS NOT NULL GROUP BY symbol)"""
+
+
+@query(sql(ADF, "SELECT symbol, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / det) AS adf, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / det) < -2.86 AS stationary FROM (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS c FROM su)", "symbol stationary", "adf"))
 def adf_stationarity(spark, d):
     return K.adf(D.daily_bars(spark, d))
 
@@ -551,7 +591,10 @@ def minimum_track_record(spark, d):
     return s.select("symbol", T.minimum_track_record(F.col("sharpe"), F.lit(0.0), F.col("skew"), F.col("kurt")).alias("n_min"))
 
 
-@query()
+BEST_OF_3 = (1 - T.EULER) * norm_ppf(1 - 1 / 3) + T.EULER * norm_ppf(1 - 1 / 3 * math.exp(-1))
+
+
+@query(sql(MOMENTS, f"SELECT stddev_pop(sr) * {BEST_OF_3!r} AS benchmark FROM mo", "", "benchmark"))
 def deflated_sharpe_benchmark(spark, d):
     return T.deflated_benchmark(_sharpe_tests(spark, d))
 
@@ -580,7 +623,10 @@ def annualisation_factor(spark, d):
     return T.annualisation(D.daily_bars(spark, d))
 
 
-@query()
+PVALUES = MOMENTS + f", pv AS (SELECT symbol, sr AS sharpe, 2 * {norm_sf_sql('abs(sr) * sqrt(1000)')} AS p FROM mo), rk AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, sharpe) AS k FROM pv)"
+
+
+@query(sql(PVALUES, "SELECT symbol, sharpe, p, least(p * m, 1) AS bonferroni, least(max((m - k + 1) * p) OVER (ORDER BY k), 1) AS holm, least(min(m * (SELECT sum(1.0 / i) FROM (SELECT unnest(range(1, x.m + 1)) AS i)) / k * p) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS bhy FROM rk x", "symbol", "sharpe p bonferroni holm bhy"))
 def haircut_sharpe(spark, d):
     return T.haircuts(_sharpe_tests(spark, d).select("symbol", "sharpe"), 1000)
 
@@ -714,7 +760,7 @@ def ranking_scores(spark, d):
     return V.ranking_scores(_scored(spark, d)).select("auc", "base_rate")
 
 
-@query()
+@query(sql(SCORED, "SELECT arg_max(p, row(f1, p)) AS p, max(f1) AS f1 FROM (SELECT p, coalesce(2 * tp / nullif(called + pos, 0), 0) AS f1 FROM (SELECT p, sum(y) OVER (ORDER BY p DESC) AS tp, sum(k) OVER (ORDER BY p DESC) AS called, sum(y) OVER () AS pos FROM (SELECT p, sum(y) AS y, count(*) AS k FROM scored GROUP BY p)))", "", "p f1"))
 def best_threshold(spark, d):
     return V.best_threshold(_scored(spark, d))
 
