@@ -57,21 +57,30 @@ def _chunks(batches, scale: int, width: int, rows: int = 1024):
             yield part.column("vec_id").to_numpy(), scaled(part.column("vec"), scale, width)
 
 
-def _gather(query_ids, queries, k: int, lists: int, scale: int):
-    """Phase 1: for each query, the scores of the vectors that lead one of this task's lists."""
+def _whole(rows: np.ndarray, queries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whole scores of a few rows of each query: those numbered ``at[:, j]`` for query ``j``."""
+    if float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1] < _EXACT:
+        return np.einsum("nqd,qd->nq", rows[at], queries)
+    return np.stack([inner(rows[at[:, j]], queries[j : j + 1])[:, 0].astype(np.float64) for j in range(at.shape[1])], axis=1)
+
+
+def _gather(query_ids, queries, k: int, lists: int, scale: int, block: int = 256):
+    """Phase 1: the vectors that lead one of this task's lists are scored whole, the others not; the best of each query."""
 
     def run(batches):
-        best = [np.empty(0)] * len(query_ids)
+        best = np.full((k, len(query_ids)), -np.inf)
         for ids, rows in _chunks(batches, scale, queries.shape[1]):
-            total = inner(rows, queries)
-            total_of = [inner(rows[:, s], queries[:, s]) for s in _lists(queries.shape[1], lists)]
             n = min(k + 1, len(rows))  # one more: the query's own vector may lead
-            lead = np.concatenate([np.argpartition(-p.astype(np.float64), n - 1, axis=0)[:n] for p in total_of])
-            for j in range(len(query_ids)):
-                at = np.unique(lead[:, j])
-                at = at[ids[at] != query_ids[j]]
-                best[j] = np.sort(np.concatenate([best[j], total[at, j].astype(np.float64)]))[-k:]
-        yield pa.record_batch([pa.array(query_ids), pa.array([x.tolist() for x in best], pa.list_(pa.float64()))], ["query_id", "scores"])
+            for first in range(0, len(query_ids), block):
+                own = slice(first, first + block)
+                partial = (inner(rows[:, s], queries[own, s]) for s in _lists(queries.shape[1], lists))
+                at = np.sort(np.concatenate([np.argpartition(-p.astype(np.float64), n - 1, axis=0)[:n] for p in partial]), axis=0)
+                scores = _whole(rows, queries[own], at)
+                scores[ids[at] == query_ids[own]] = -np.inf
+                scores[1:][at[1:] == at[:-1]] = -np.inf  # leads several lists
+                held = np.concatenate([best[:, own], scores])
+                best[:, own] = np.partition(held, len(held) - k, axis=0)[-k:]
+        yield pa.record_batch([pa.array(query_ids), pa.array([x[np.isfinite(x)].tolist() for x in best.T], pa.list_(pa.float64()))], ["query_id", "scores"])
 
     return run
 
@@ -104,8 +113,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, lists: i
     """``query_id, rank, vec_id, score``: for each row with ``is_query``, the ``k`` other rows of highest score.
 
     Scores are inner products of ``floor(scale * component)``. The components are split into
-    ``lists`` ranges, each a list of partial scores. Phase 1 gathers the whole scores of each task's
-    leaders in each list; the ``k``-th best of them is a cutoff that no better result can lie under.
+    ``lists`` ranges, each a list of partial scores. Phase 1 gathers each task's leaders in each list
+    by partial score and scores only those whole; the ``k``-th best of them is a cutoff that no better result can lie under.
     Phase 2 takes, in each task, the rows whose partial score reaches ``cutoff / lists`` in some list:
     a row that reaches it in none has a sum under the cutoff. Phase 3 scores those whole.
 
@@ -113,7 +122,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, lists: i
     Ties go to the smaller id; null ids, null vectors and those with a null or non-finite component
     take no part; a row is no candidate of a query with its own id; shorter vectors count as ending
     in zeros; fewer candidates than ``k`` give all; an empty table gives no rows; scores beyond a
-    long are kept at its ends.
+    long are kept at its ends. Rows with one id are candidates each; as a query an id counts once, with
+    the smallest of its vectors. Other columns are ignored.
     """
     spark = vectors.sparkSession
     clean = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vec"), is_query.alias("is_query"))
@@ -124,7 +134,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, lists: i
     blocks = -(-n // block)
     found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for i in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).dropDuplicates(["vec_id"]).toArrow().combine_chunks()
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).groupBy("vec_id").agg(F.min("vec").alias("vec")).toArrow().combine_chunks()
         if not own.num_rows:
             continue
         ids, matrix = own.column("vec_id").to_numpy(), scaled(pa.concat_arrays(own.column("vec").chunks), scale)
