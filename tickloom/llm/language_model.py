@@ -183,7 +183,7 @@ def _add_pairs(folder: str, segment_bits: int, word_bits: int):
         follow = [np.add.reduceat(x.astype(np.int64), heads) for x in (count == 1, count == 2, count > 2)]
         hashes = pair_hash(first, second, segment_bits)
         order = np.argsort(hashes)
-        _write(f"{folder}/pairs-{segment:06d}", hashes[order], np.minimum(count[order], (1 << 32) - 1).astype("<u4"), first[heads], total.astype("<u8"), *(x.astype("<u4") for x in follow))
+        _write(f"{folder}/pairs-{segment:06d}", hashes[order], count[order].astype("<u4" if int(count.max(initial=0)) < 1 << 32 else "<u8"), first[heads], total.astype("<u8"), *(x.astype("<u4") for x in follow))
         of_counts = _of_counts(count)
         order = np.argsort(second, kind="stable")
         second, count = second[order], count[order]
