@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.keys import IDX, SYMBOL, full, series
+from tickloom.keys import IDX, SYMBOL, full, ratio, series
 
 
 def cusum_filter(bars: DataFrame, threshold: float | str) -> DataFrame:
@@ -115,29 +115,61 @@ def fixed_horizon_labels(bars: DataFrame, threshold: float, window: int | None =
     return out.withColumn("label", F.when(F.col("ret") < -threshold, -1).when(F.col("ret") > threshold, 1).when(F.col("ret").isNotNull(), 0))
 
 
-def trend_scanning_labels(bars: DataFrame, spans: tuple[int, int], log: bool = True) -> DataFrame:
-    """For each bar the horizon with the strongest forward trend: ``t_value, slope, window, ret, bin``.
+def trend_scanning_labels(bars: DataFrame, spans: tuple[int, int], log: bool = True, ahead: bool = True) -> DataFrame:
+    """For each bar the horizon with the strongest trend: ``t_value, slope, r_squared, window, t1, ret, bin``.
 
+    Windows begin at the bar, or end at it unless ``ahead``, and time then runs backwards in the slope.
     Slopes of all horizons of ``range(*spans)`` come from running sums of the series and of its product
-    with the position, so that a horizon costs a subtraction. The last ``max`` bars have no label.
+    with the position, so that a horizon costs a subtraction. Bars without room for the longest have no label.
     """
     y = F.ln("close") if log else F.col("close")
     w = series().rowsBetween(Window.unboundedPreceding, 0)
-    mean = F.avg(y).over(Window.partitionBy(SYMBOL))
-    d = bars.withColumn("y", y - mean)
-    d = d.withColumns({"sy": F.sum("y").over(w), "syy": F.sum(F.col("y") * F.col("y")).over(w), "sty": F.sum(F.col("y") * F.col(IDX)).over(w), "n": F.count("*").over(Window.partitionBy(SYMBOL))})
+    whole, longest = Window.partitionBy(SYMBOL), max(range(*spans))
+    d = bars.withColumn("y", y - F.avg(y).over(whole))
+    d = d.withColumns({"sy": F.sum("y").over(w), "syy": F.sum(F.col("y") * F.col("y")).over(w), "sty": F.sum(F.col("y") * F.col(IDX)).over(w), "n": F.count("*").over(whole)})
     stats = []
     for length in range(*spans):
-        ahead = lambda c, k=length: F.lead(c, k - 1).over(series()) - F.col(c)
-        sy, syy, sty = ahead("sy") + F.col("y"), ahead("syy") + F.col("y") * F.col("y"), ahead("sty") + F.col("y") * F.col(IDX)
+        first = F.lag if not ahead else lambda c, k: F.col(c)
+        last = F.lead if ahead else lambda c, k: F.col(c)
+        at = lambda c, f, k=length: f(c, k - 1).over(series()) if f in (F.lag, F.lead) else f(c, k - 1)
+        over = lambda total, own, f=first, g=last: at(total, g) - at(total, f) + own
+        y0, i0 = at("y", first), at(IDX, first)
+        sy, syy, sty = over("sy", y0), over("syy", y0 * y0), over("sty", y0 * i0)
         tbar, stt = (length - 1) / 2, length * (length * length - 1) / 12
-        sxy = sty - F.col(IDX) * sy - tbar * sy
+        sxy = sty - i0 * sy - tbar * sy
         slope = sxy / stt
-        sse = F.greatest(syy - sy * sy / length - slope * sxy, F.lit(0.0))
+        total = syy - sy * sy / length
+        sse = F.greatest(total - slope * sxy, F.lit(0.0))
         t = slope / (F.sqrt(sse / (length - 2) / stt) + 1e-9)
-        stats.append(F.struct(F.abs(t).alias("size"), F.lit(-length).alias("nwindow"), t.alias("t"), slope.alias("slope"), F.lead("close", length - 1).over(series()).alias("end")))
-    d = d.withColumn("best", F.array_max(F.array(*stats))).where(F.col(IDX) < F.col("n") - max(range(*spans)))
-    return d.select(SYMBOL, "ts", IDX, (-F.col("best.nwindow")).alias("window"), F.col("best.slope").alias("slope"), F.col("best.t").alias("t_value"), (F.col("best.end") / F.col("close") - 1).alias("ret"), F.when(F.abs("best.t") <= 1e-6, 0).otherwise(F.signum("best.t")).cast("int").alias("bin"))
+        sign = 1 if ahead else -1
+        stats.append(F.struct(F.abs(t).alias("size"), F.lit(-length).alias("nwindow"), (sign * t).alias("t"), (sign * slope).alias("slope"), (1 - ratio(sse, total)).alias("r_squared"), (at("close", last) / at("close", first) - 1).alias("ret"), at("ts", last if ahead else first).alias("t1")))
+    room = F.col(IDX) < F.col("n") - longest if ahead else F.col(IDX) >= longest - 1
+    d = d.withColumn("best", F.array_max(F.array(*stats))).where(room)
+    return d.select(SYMBOL, "ts", IDX, (-F.col("best.nwindow")).alias("window"), F.col("best.slope").alias("slope"), F.col("best.t").alias("t_value"), F.col("best.r_squared").alias("r_squared"), F.col("best.t1").alias("t1"), F.col("best.ret").alias("ret"), F.when(F.abs("best.t") <= 1e-6, 0).otherwise(F.signum("best.t")).cast("int").alias("bin"))
+
+
+def indicator_uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """``symbol, uniqueness``: the mean of 1 / concurrency over all cells of the indicator matrix, without making it.
+
+    Each bar with labels adds as many cells as labels, of one in all.
+    """
+    c = concurrency(events, bars).where("n_concurrent > 0")
+    return c.groupBy(SYMBOL).agg((F.count("*") / F.sum("n_concurrent")).alias("uniqueness"))
+
+
+def nearest(marks: DataFrame, bars: DataFrame) -> DataFrame:
+    """``marks(symbol, ts, ...)`` with the bar nearest in time: ``bar_idx, bar_ts``; of two as near, the later."""
+    names = [c for c in marks.columns if c not in (SYMBOL, "ts")]
+    bar = F.struct(F.col("ts").alias("bar_ts"), F.col(IDX).alias(IDX))
+    both = marks.select(SYMBOL, "ts", F.struct(*names).alias("mark") if names else F.lit(1).alias("mark"), F.lit(1).alias("is_mark")).withColumn("bar", F.lit(None).cast("struct<bar_ts:timestamp,bar_idx:bigint>"))
+    points = bars.select(SYMBOL, "ts", F.lit(0).alias("is_mark"), bar.cast("struct<bar_ts:timestamp,bar_idx:bigint>").alias("bar")).withColumn("mark", F.lit(None).cast(both.schema["mark"].dataType))
+    d = both.unionByName(points)
+    before = F.last("bar", ignorenulls=True).over(Window.partitionBy(SYMBOL).orderBy("ts", "is_mark").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("bar", ignorenulls=True).over(Window.partitionBy(SYMBOL).orderBy("ts", F.desc("is_mark")).rowsBetween(0, Window.unboundedFollowing))
+    d = d.withColumns({"a": before, "b": after}).where("is_mark = 1")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    late = F.col("b").isNotNull() & (F.col("a").isNull() | (micros(F.col("b.bar_ts")) - micros(F.col("ts")) <= micros(F.col("ts")) - micros(F.col("a.bar_ts"))))
+    return d.withColumn("near", F.when(late, F.col("b")).otherwise(F.col("a"))).select(SYMBOL, "ts", *([F.col(f"mark.{c}") for c in names]), "near.*")
 
 
 def concurrency(events: DataFrame, bars: DataFrame) -> DataFrame:

@@ -174,12 +174,12 @@ def fixed_horizon_labels(spark, d):
     return L.fixed_horizon_labels(D.daily_bars(spark, d), 0.5, 20).select("symbol", "ts", "label", "ret")
 
 
-@query(sql(BARS, """SELECT symbol, ts, bar_idx, window_ AS "window", slope, t_value, ret, CASE WHEN abs(t_value) <= 1e-6 THEN 0 ELSE CAST(sign(t_value) AS INT) END AS bin FROM (
-  SELECT symbol, ts, bar_idx, l AS window_, slope, t_value, ret, row_number() OVER (PARTITION BY symbol, bar_idx ORDER BY abs(t_value) DESC, l) AS n FROM (
-    SELECT a.symbol, a.ts, a.bar_idx, h.l, any_value(a.close) AS c0, regr_slope(ln(b.close), b.bar_idx) AS slope, arg_max(b.close, b.bar_idx) / any_value(a.close) - 1 AS ret,
+@query(sql(BARS, """SELECT symbol, ts, bar_idx, window_ AS "window", slope, t_value, r_squared, t1, ret, CASE WHEN abs(t_value) <= 1e-6 THEN 0 ELSE CAST(sign(t_value) AS INT) END AS bin FROM (
+  SELECT symbol, ts, bar_idx, l AS window_, slope, t_value, r_squared, t1, ret, row_number() OVER (PARTITION BY symbol, bar_idx ORDER BY abs(t_value) DESC, l) AS n FROM (
+    SELECT a.symbol, a.ts, a.bar_idx, h.l, any_value(a.close) AS c0, regr_slope(ln(b.close), b.bar_idx) AS slope, regr_r2(ln(b.close), b.bar_idx) AS r_squared, arg_max(b.ts, b.bar_idx) AS t1, arg_max(b.close, b.bar_idx) / any_value(a.close) - 1 AS ret,
       regr_slope(ln(b.close), b.bar_idx) / (sqrt(greatest(regr_syy(ln(b.close), b.bar_idx) - regr_sxy(ln(b.close), b.bar_idx) ** 2 / regr_sxx(ln(b.close), b.bar_idx), 0) / (h.l - 2) / regr_sxx(ln(b.close), b.bar_idx)) + 1e-9) AS t_value
     FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars) a CROSS JOIN (SELECT unnest([5, 6, 7, 8, 9]) AS l) h JOIN bars b ON b.symbol = a.symbol AND b.bar_idx BETWEEN a.bar_idx AND a.bar_idx + h.l - 1
-    WHERE a.bar_idx < a.n - 9 GROUP BY a.symbol, a.ts, a.bar_idx, h.l)) WHERE n = 1""", 'symbol ts bar_idx "window" bin', "slope t_value ret"))
+    WHERE a.bar_idx < a.n - 9 GROUP BY a.symbol, a.ts, a.bar_idx, h.l)) WHERE n = 1""", 'symbol ts bar_idx "window" t1 bin', "slope t_value r_squared ret"))
 def trend_scanning(spark, d):
     return L.trend_scanning_labels(D.daily_bars(spark, d), (5, 10))
 

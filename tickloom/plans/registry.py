@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.plans import more  # noqa: F401
 from tickloom.plans.queries import ORACLE, QUERIES
 
 
