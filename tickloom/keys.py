@@ -39,11 +39,23 @@ def carried_sign(value: Column, order: str = IDX) -> Column:
     return F.last(F.nullif(F.signum(value), F.lit(0.0)), ignorenulls=True).over(series(order))
 
 
-def with_index(df: DataFrame, order: Iterable[str] = (TS,)) -> DataFrame:
+def running_sum(df: DataFrame, value: Column, out: str, order: Iterable[str] = (TS,), grain: str = "day") -> DataFrame:
+    """``df`` with the sum of ``value`` over its symbol's rows up to each, in two levels.
+
+    Rows are summed up within a symbol's day (or hour), one task each; what the days before add comes
+    from one row a day. So no symbol's whole series has to be in one task.
+    """
+    d = df.withColumn("_block", F.date_trunc(grain, TS)).withColumn("_value", value)
+    totals = d.groupBy(SYMBOL, "_block").agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(SYMBOL).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(SYMBOL, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    local = F.sum("_value").over(Window.partitionBy(SYMBOL, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn(out, local).join(totals, [SYMBOL, "_block"]).withColumn(out, F.col(out) + F.col("_before")).drop("_block", "_value", "_before")
+
+
+def with_index(df: DataFrame, order: Iterable[str] = (TS,), grain: str | None = None) -> DataFrame:
+    """``bar_idx``: each row's position in its symbol; with a ``grain`` (for ticks) in two levels."""
+    if grain:
+        d = running_sum(df, F.lit(1), IDX, order, grain)
+        return d.withColumn(IDX, (F.col(IDX) - 1).cast("long"))
     return df.withColumn(IDX, (F.row_number().over(Window.partitionBy(SYMBOL).orderBy(*order)) - 1).cast("long"))
-
-
-def require(df: DataFrame, *columns: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.keys import SYMBOL, series
+from tickloom.keys import SYMBOL, running_sum, series
 
 ORDER = ("ts", "seq")
 
@@ -59,18 +59,38 @@ def _activity(ticks: DataFrame, bar_id: Column, keep_whole: bool) -> DataFrame:
 
 def tick_bars(ticks: DataFrame, size: int) -> DataFrame:
     """Bars of ``size`` ticks; an incomplete last one is dropped. Named a microsecond after their last tick."""
-    at = F.row_number().over(Window.partitionBy(SYMBOL).orderBy(*ORDER)) - 1
-    return _activity(ticks, F.floor(at / size), True).where(F.col("tick_volume") == size)
+    counted = running_sum(ticks, F.lit(1), "at", ORDER)
+    return _activity(counted, F.floor((F.col("at") - 1) / size), True).where(F.col("tick_volume") == size)
 
 
 def volume_bars(ticks: DataFrame, size: float) -> DataFrame:
     """A bar for each ``size`` of volume; the tick that crosses starts the next; the last bar is dropped."""
-    return _activity(ticks, F.floor(F.sum("volume").over(Window.partitionBy(SYMBOL).orderBy(*ORDER)) / size), False)
+    return _activity(running_sum(ticks, F.col("volume"), "at", ORDER), F.floor(F.col("at") / size), False)
 
 
 def dollar_bars(ticks: DataFrame, size: float) -> DataFrame:
     """The same by value traded."""
-    return _activity(ticks, F.floor(F.sum(F.col("volume") * F.col("price")).over(Window.partitionBy(SYMBOL).orderBy(*ORDER)) / size), False)
+    return _activity(running_sum(ticks, F.col("volume") * F.col("price"), "at", ORDER), F.floor(F.col("at") / size), False)
+
+
+def calendar_end(timeframe: str) -> Column:
+    """The end of the business day (weekends belong to the Friday before), of the week that Friday starts, or of the month, that a time lies in."""
+    day = F.to_date("ts")
+    kind = timeframe.upper()
+    if kind.startswith("MN"):
+        end = F.add_months(F.trunc(day, "month"), 1)
+    elif kind.startswith("W"):
+        end = F.next_day(day, "FRI")
+    elif kind.startswith("D"):
+        end = F.date_add(day, F.when(F.weekday(day) >= 4, 7 - F.weekday(day)).otherwise(1))
+    else:
+        raise ValueError(f"no calendar unit in {timeframe!r}")
+    return end.cast("timestamp")
+
+
+def calendar_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
+    """Bars of business days (``D1``), weeks from Friday to Friday (``W1``) or months (``MN1``), named by their end; empty ones are left out."""
+    return ticks.withColumn("end", calendar_end(timeframe)).groupBy(SYMBOL, "end").agg(*_aggregates(ticks)).withColumnRenamed("end", "ts")
 
 
 def bid_ask_bars(quotes: DataFrame, timeframe: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.mathx import norm_cdf
 from tickloom.keys import SYMBOL
+from tickloom.operators.validation import cumulative
 
 
 def signal(prob: Column, classes: int, side: Column | None = None) -> Column:
@@ -98,9 +99,8 @@ def ecdf_size(scored: DataFrame, threshold: float) -> DataFrame:
     """Share of winning probabilities over the threshold that a probability reaches; 0 up to it."""
     wins = scored.where((F.col("y") == 1) & (F.col("p") > threshold)).groupBy("p").agg(F.count("*").alias("n"))
     every = scored.select("p").distinct().join(wins, "p", "left")
-    order = Window.orderBy("p")
-    # one row a distinct probability
-    cum = every.withColumn("c", F.sum(F.coalesce("n", F.lit(0))).over(order)).withColumn("all", F.max("c").over(Window.partitionBy()))
+    total = wins.agg(F.sum("n").alias("all"))
+    cum = cumulative(every, {"c": F.coalesce("n", F.lit(0))}).crossJoin(F.broadcast(total))  # one row
     return scored.join(cum.select("p", (F.col("c") / F.nullif(F.col("all"), F.lit(0))).alias("share")), "p").withColumn("bet_size", F.when(F.col("p") > threshold, F.coalesce("share", F.lit(0.0))).otherwise(0.0)).drop("share")
 
 

@@ -28,7 +28,7 @@ def purged_folds(labels: DataFrame, k: int, embargo: float = 0.0) -> DataFrame:
     part = Window.partitionBy(SYMBOL)
     d = d.withColumn("n", F.count("*").over(part))
     tests = d.groupBy(SYMBOL, F.col("fold").alias("test_fold")).agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
-    j = d.join(F.broadcast(tests), SYMBOL)  # k rows a symbol
+    j = d.join(tests, SYMBOL)  # k rows a symbol
     inside = F.col("fold") == F.col("test_fold")
     left = F.col("t1") < F.col("lo")
     after = F.col("t0") > F.col("hi")
@@ -55,7 +55,7 @@ def combinatorial_folds(labels: DataFrame, groups: int, tests: int) -> DataFrame
     choice = spark.createDataFrame([(i, list(c)) for i, c in enumerate(combinations(range(groups), tests))], "split int, chosen array<int>")
     bounds = d.groupBy(SYMBOL, F.col("fold").alias("g")).agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
     spans = bounds.groupBy(SYMBOL).agg(F.collect_list(F.struct("g", "lo", "hi")).alias("spans"))
-    j = d.join(F.broadcast(spans), SYMBOL).crossJoin(F.broadcast(choice))  # one row a split
+    j = d.join(spans, SYMBOL).crossJoin(F.broadcast(choice))  # one row a split
     hit = F.exists("spans", lambda s: F.array_contains("chosen", s["g"]) & (F.col("t0") <= s["hi"]) & (s["lo"] <= F.col("t1")))
     role = F.when(F.array_contains("chosen", F.col("fold")), "test").when(~hit, "train")
     return j.withColumn("role", role).where("role is not null").select(SYMBOL, "t0", "t1", "split", "role")
@@ -97,12 +97,27 @@ def quantile_reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     return d.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg("y").alias("accuracy"))
 
 
+def cumulative(g: DataFrame, sums: dict[str, Column], descending: bool = False) -> DataFrame:
+    """Rows with distinct ``p`` and, of each value, the sum over them in order of ``p``.
+
+    Rows are summed within 4,096 bands of the probability; what the bands before add comes from one
+    row a band, so that no task has all probabilities.
+    """
+    d = g.withColumn("_band", F.least(F.greatest(F.floor(F.col("p") * 4096), F.lit(0)), F.lit(4096))).withColumns({f"_{k}": v for k, v in sums.items()})
+    order = lambda c: F.desc(c) if descending else F.asc(c)
+    before = Window.orderBy(order("_band")).rowsBetween(Window.unboundedPreceding, -1)  # a row a band
+    bands = d.groupBy("_band").agg(*(F.sum(f"_{k}").alias(f"_t_{k}") for k in sums))
+    bands = bands.select("_band", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums))
+    own = Window.partitionBy("_band").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({k: F.sum(f"_{k}").over(own) for k in sums}).join(F.broadcast(bands), "_band")
+    return d.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).drop("_band", *(f"_{k}" for k in sums), *(f"_b_{k}" for k in sums))
+
+
 def thresholds(scored: DataFrame) -> DataFrame:
     """For each distinct probability as a threshold: precision, recall, F1, true and false positive rates."""
     g = scored.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("p"))  # distinct probabilities only
-    every = Window.partitionBy()
-    c = g.select("p", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("called"), F.sum("pos").over(every).alias("pos"), F.sum("n").over(every).alias("n"))
+    every = scored.agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    c = cumulative(g, {"tp": F.col("pos"), "called": F.col("n")}, descending=True).select("p", "tp", "called").crossJoin(F.broadcast(every))  # one row
     c = c.withColumns({"precision": F.col("tp") / F.col("called"), "recall": F.col("tp") / F.nullif(F.col("pos"), F.lit(0)), "fpr": (F.col("called") - F.col("tp")) / F.nullif(F.col("n") - F.col("pos"), F.lit(0))})
     return c.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))).select("p", "tp", "called", "precision", "recall", "fpr", "f1")
 
@@ -114,8 +129,9 @@ def best_threshold(scored: DataFrame) -> DataFrame:
 def ranking_scores(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve by rank sums (ties shared), average precision, and the share of positives."""
     g = scored.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    up, down, every = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("p")), Window.partitionBy()
-    d = g.withColumns({"below": F.coalesce(F.sum(F.col("n") - F.col("pos")).over(up), F.lit(0)), "tp": F.sum("pos").over(down), "called": F.sum("n").over(down), "all_pos": F.sum("pos").over(every), "all_neg": F.sum(F.col("n") - F.col("pos")).over(every)})
+    every = scored.agg(F.sum("y").alias("all_pos"), F.sum(1 - F.col("y")).alias("all_neg"))
+    d = cumulative(g, {"up_to": F.col("n") - F.col("pos"), "tp_up": F.col("pos"), "n_up": F.col("n")}).crossJoin(F.broadcast(every))  # one row
+    d = d.withColumns({"below": F.col("up_to") - (F.col("n") - F.col("pos")), "tp": F.col("all_pos") - F.col("tp_up") + F.col("pos"), "called": F.col("all_pos") + F.col("all_neg") - F.col("n_up") + F.col("n")})
     auc = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)) / F.nullif(F.first("all_pos") * F.first("all_neg"), F.lit(0))
     ap = F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / F.col("called"))
     return d.agg(auc.alias("auc"), ap.alias("average_precision"), (F.first("all_pos") / (F.first("all_pos") + F.first("all_neg"))).alias("base_rate"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.mathx import norm_cdf_sql
+from tickloom.operators import bars as B
 from tickloom.operators import features as X
 from tickloom.operators import learning as N
 from tickloom.operators import matrices as A
@@ -12,9 +15,69 @@ from tickloom.operators import sampling as L
 from tickloom.operators import statistics as T
 from tickloom.operators import validation as V
 from tickloom.operators import volatility as R
-from tickloom.plans.queries import BARS, BEST_OF_3, BETS, CLOSES, MOMENTS, POS, STATE, TICKS, TRADES, W, _bets, _events, _labels, _positions, _sharpe_tests, ev, query, roll, sql
+from tickloom.plans.queries import BARS, BEST_OF_3, BETS, CLOSES, MOMENTS, OHLC, POS, STATE, TICKS, TRADES, W, _bets, _events, _labels, _positions, _sharpe_tests, ev, query, roll, sql
 from tickloom.sources import market as D
 
+# sources
+
+
+def _store(spark, d) -> str:
+    """Ticks in the shared folder, stored in two goes of which the second overlaps the first."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/ticks-{uuid.uuid4().hex}"
+    ticks = D.events_ticks(spark, d)
+    D.write_ticks(ticks.where(F.col("ts") < HALF).withColumn("gap", F.lit(None).cast("double")), path)
+    D.write_ticks(ticks.withColumn("gap", F.lit(1.0)), path)
+    return path
+
+
+HALF, FIRST, LAST = "2024-01-15 00:00:00", "2024-01-05 00:00:00", "2024-01-25 00:00:00"
+
+
+@query(sql(TICKS, f"SELECT symbol, ts, seq, price, volume FROM ticks WHERE ts BETWEEN TIMESTAMP '{FIRST}' AND TIMESTAMP '{LAST}'", "symbol ts seq", "price volume"))
+def stored_ticks(spark, d):
+    return D.read_ticks(spark, _store(spark, d), start=FIRST, end=LAST)
+
+
+@query(sql(TICKS, f"SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ts, {OHLC} FROM ticks WHERE ts BETWEEN TIMESTAMP '{FIRST}' AND TIMESTAMP '{LAST}' GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, ts)", "symbol ts tick_volume", "open high low close volume"))
+def bars_from_store(spark, d):
+    return D.load_bars(spark, _store(spark, d), "H1", FIRST, LAST)
+
+
+@query("SELECT 'ticks' AS dataset, CAST(4 AS BIGINT) AS n_access, CAST(1 AS BIGINT) AS n_train, CAST(0 AS BIGINT) AS n_validate, CAST(0 AS BIGINT) AS n_optimize, CAST(0 AS BIGINT) AS n_research, CAST(3 AS BIGINT) AS n_test, 'WARNING' AS level")
+def access_report(spark, d):
+    path = _store(spark, d)
+    for purpose in ("test", "train", "test", "test"):
+        D.load_bars(spark, path, "D1", purpose=purpose, log=f"{path}-log")
+    return D.access_report(spark.read.json(f"{path}-log").withColumn("dataset", F.lit("ticks")))
+
+
+@query(sql(TRADES, "SELECT symbol, count(*) AS n, avg(ret) AS mean FROM tl GROUP BY symbol", "symbol n", "mean"))
+def model_logs(spark, d):
+    path = f"{_store(spark, d)}-models"
+    D.write_records(T.trades(_positions(spark, d)).select("symbol", "trade_id", "ret"), path)
+    return D.model_logs(spark, path, "symbol string, trade_id long, ret double").groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
+
+
+def _calendar(end: str) -> str:
+    return sql(TICKS, f"SELECT symbol, CAST({end} AS TIMESTAMP) AS ts, {OHLC} FROM ticks GROUP BY symbol, CAST({end} AS TIMESTAMP)", "symbol ts tick_volume", "open high low close volume")
+
+
+@query(_calendar("CAST(ts AS DATE) + CAST(CASE WHEN isodow(ts) >= 5 THEN 8 - isodow(ts) ELSE 1 END AS INT)"))
+def business_day_bars(spark, d):
+    return B.calendar_bars(D.events_ticks(spark, d), "D1")
+
+
+@query(_calendar("CAST(ts AS DATE) + CAST((4 - isodow(ts) + 7) % 7 + 1 AS INT)"))
+def friday_week_bars(spark, d):
+    return B.calendar_bars(D.events_ticks(spark, d), "W1")
+
+
+@query(_calendar("date_trunc('month', ts) + INTERVAL 1 MONTH"))
+def month_bars(spark, d):
+    return B.calendar_bars(D.events_ticks(spark, d), "MN1")
+
+
 # feature matrices
 
 C5 = "OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"

@@ -429,7 +429,7 @@ def bar_lambdas(spark, d):
 
 
 def _indexed_ticks(spark, d):
-    t = D.with_index(D.events_ticks(spark, d), ("ts", "seq"))
+    t = D.with_index(D.events_ticks(spark, d), ("ts", "seq"), "day")
     return t.withColumn("bar_id", F.floor(F.col("bar_idx") / 50))
 
 

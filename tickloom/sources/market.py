@@ -2,26 +2,75 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.keys import with_index
 
 
+def parsed_times(start, end, zone: str = "UTC") -> tuple[datetime, datetime]:
+    """Two times, given as text, seconds since 1970, dates or times, in UTC; the first has to be the sooner."""
+
+    def one(x) -> datetime:
+        if isinstance(x, (int, float)):
+            return datetime.fromtimestamp(x, UTC)
+        t = datetime.fromisoformat(x) if isinstance(x, str) else x if isinstance(x, datetime) else datetime(x.year, x.month, x.day)
+        return t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC)
+
+    a, b = one(start), one(end)
+    if a >= b:
+        raise ValueError(f"{start} is not before {end}")
+    return a, b
+
+
 def read_ticks(spark: SparkSession, path: str, columns: list[str] | None = None, start=None, end=None) -> DataFrame:
-    """Stored ticks between two times, both included; projection and range reach the scan."""
+    """Stored ticks between two times, both included, in order; columns that have a gap are left out. Projection and range reach the scan."""
     df = spark.read.parquet(path)
     if start is not None:
         df = df.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end is not None:
         df = df.where(F.col("ts") <= F.lit(end).cast("timestamp"))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df.drop("year", "month")
+    gap = lambda c, t: F.max(F.col(c).isNull() | (F.isnan(c) if t in ("double", "float") else F.lit(False)))
+    gaps = df.agg(*(gap(c, t).alias(c) for c, t in df.dtypes)).first()
+    return df.drop(*(c for c in df.columns if gaps[c])).orderBy("symbol", "ts", *(["seq"] if "seq" in df.columns else []))
 
 
-def write_ticks(df: DataFrame, path: str, mode: str = "append") -> None:
-    """By symbol, year and month, zstd."""
+def write_ticks(df: DataFrame, path: str) -> None:
+    """By symbol, year and month, zstd; what is stored already stays, and only later ticks of a symbol are added."""
+    spark = df.sparkSession
     parts = df.withColumn("year", F.year("ts")).withColumn("month", F.month("ts"))
-    parts.repartition("symbol", "year", "month").write.mode(mode).partitionBy("symbol", "year", "month").option("compression", "zstd").parquet(path)
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if stored.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stored):
+        last = spark.read.parquet(path).groupBy("symbol").agg(F.max("ts").alias("last_ts"))
+        parts = parts.join(F.broadcast(last), "symbol", "left").where("last_ts is null or ts > last_ts").drop("last_ts")  # a row a symbol
+    parts.repartition("symbol", "year", "month").write.mode("append").partitionBy("symbol", "year", "month").option("compression", "zstd").parquet(path)
+
+
+def load_bars(spark: SparkSession, path: str, timeframe: str, start=None, end=None, purpose: str = "research", log: str | None = None) -> DataFrame:
+    """Stored ticks to bars of a timeframe, in one call; what was read, and what for, goes to an access log if one is named."""
+    from tickloom.operators.bars import time_bars
+
+    if log:
+        entry = [(path, timeframe, None if start is None else str(start), None if end is None else str(end), purpose)]
+        spark.createDataFrame(entry, "dataset string, timeframe string, first string, last string, purpose string").withColumn("at", F.current_timestamp()).write.mode("append").json(log)
+    return time_bars(read_ticks(spark, path, start=start, end=end), timeframe)
+
+
+def write_records(df: DataFrame, path: str, kind: str = "json") -> None:
+    """Rows as CSV with a header, as JSON lines, or as Parquet."""
+    writer = df.write.mode("append")
+    {"csv": lambda: writer.option("header", True).csv(path), "json": lambda: writer.json(path), "parquet": lambda: writer.parquet(path)}[kind]()
+
+
+def model_logs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Logs of experiments, JSON lines, as a table; lines that are no JSON are left out."""
+    raw = spark.read.text(path).select("value")
+    schema = schema or spark.read.json(path).drop("_corrupt_record").schema.simpleString()
+    return raw.select(F.from_json("value", schema).alias("x")).where("x is not null").select("x.*").dropna("all")
 
 
 def read_csv_ticks(spark: SparkSession, path: str, timestamp_format: str = "yyyy-MM-dd HH:mm:ss.SSS", symbol: str = "X") -> DataFrame:
@@ -30,6 +79,15 @@ def read_csv_ticks(spark: SparkSession, path: str, timestamp_format: str = "yyyy
     return raw.select(F.lit(symbol).alias("symbol"), "*")
 
 
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as it lies at a path: written there once, read on every later call."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def clean_ticks(quotes: DataFrame, min_spread: float = 1e-5) -> DataFrame:
     """Valid quotes (positive, ask above bid by ``min_spread``), the last of each time."""
     valid = quotes.dropna().where((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("ask") > F.col("bid")) & (F.col("ask") - F.col("bid") >= min_spread))
@@ -39,9 +97,9 @@ def clean_ticks(quotes: DataFrame, min_spread: float = 1e-5) -> DataFrame:
 
 def access_report(log: DataFrame) -> DataFrame:
     """How often each dataset was used for each purpose, and what that makes a later test worth."""
-    n = F.sum(F.when(F.col("purpose") == "test", 1).otherwise(0))
+    n = lambda purpose: F.sum(F.when(F.col("purpose") == purpose, 1).otherwise(0))
     level = F.when(F.col("n_test") == 0, "CLEAN").when(F.col("n_test") <= 2, "ACCEPTABLE").when(F.col("n_test") <= 10, "WARNING").otherwise("CONTAMINATED")
-    return log.groupBy("dataset").agg(F.count("*").alias("n_access"), n.alias("n_test")).withColumn("level", level)
+    return log.groupBy("dataset").agg(F.count("*").alias("n_access"), *(n(p).alias(f"n_{p}") for p in ("train", "validate", "optimize", "research", "test"))).withColumn("level", level)
 
 
 def events_ticks(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
@@ -56,7 +114,7 @@ def events_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_index(events_ticks(spark, sf_dir).withColumnRenamed("price", "close"), ("ts", "seq")).select("symbol", "ts", "bar_idx", "close")
+    return with_index(events_ticks(spark, sf_dir).withColumnRenamed("price", "close"), ("ts", "seq"), "day").select("symbol", "ts", "bar_idx", "close")
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
