@@ -169,3 +169,25 @@ def reserve(c: Column, *parameters: float) -> Column:
     at0 = mixture_cdf(F.lit(0.0), *parameters)
     f = mixture_cdf(c, *parameters)
     return F.when(c >= 0, (f - at0) / (1 - at0)).otherwise((f - at0) / at0)
+
+
+def likely_mixture(fits: DataFrame) -> list[float]:
+    """Parameters of the search that came nearest to the moments."""
+    best = fits.agg(F.min(F.struct("error", "run", "mu_1", "mu_2", "sigma_1", "sigma_2", "p_1")).alias("b")).first().b
+    return [best[k] for k in ("mu_1", "mu_2", "sigma_1", "sigma_2", "p_1")]
+
+
+def reserve_sizes(bets: DataFrame, parameters: list[float] | None = None, runs: int = 100, seed: int = 1) -> DataFrame:
+    """Bets open on either side at each start, their difference ``c_t``, and the size by a mixture of two normals, fitted to its moments unless given."""
+    c = concurrent_sides(bets).withColumn("c_t", F.col("long") - F.col("short"))
+    if parameters is None:
+        m = raw_moments(c.withColumn("x", F.col("c_t").cast("double")), "x").first()
+        parameters = likely_mixture(mixture(bets.sparkSession, [m[f"m{k}"] for k in range(1, 6)], runs, seed))
+    return c.withColumn("bet_size", reserve(F.col("c_t").cast("double"), *parameters))
+
+
+def power_sizes(rows: DataFrame, w: float) -> DataFrame:
+    """``bet_size, target`` of rows ``most, price, forecast`` by the power family; the distance has to lie within 1."""
+    x = F.col("forecast") - F.col("price")
+    size = size_power(F.lit(float(w)), x)
+    return rows.withColumns({"bet_size": size, "target": (size * F.col("most")).cast("int")})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.mathx import ols
-from tickloom.keys import IDX, SYMBOL, series
+from tickloom.functions.mathx import norm_cdf, ols
+from tickloom.keys import IDX, SYMBOL, ratio, series
 
 
 def chow(bars: DataFrame, min_length: int, log: bool = True) -> DataFrame:
@@ -118,17 +120,73 @@ def sadf(bars: DataFrame, model: str = "linear", lags: int = 1, min_length: int
     return dealt.groupBy(SYMBOL, "chunk").applyInPandas(run, f"{SYMBOL} string, ts timestamp, {IDX} long, sadf double")
 
 
-def adf(bars: DataFrame, lags: int = 1, log: bool = True) -> DataFrame:
-    """Dickey-Fuller statistic with a constant, and whether it is under the 5 % value (-2.86, large samples)."""
+# MacKinnon's response surfaces of the Dickey-Fuller statistic with a constant. Its p-value is
+# the normal distribution of a polynomial of the statistic, one up to the first bound and one beyond; critical
+# values are polynomials of 1 / n.
+BOUNDS, LOWER, UPPER = (-18.83, -1.61, 2.74), (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+CRITICAL = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.04), 0.1: (-2.56677, -1.5384, -2.809)}
+
+
+def adf(series_rows: DataFrame, alpha: float = 0.05, log: bool = True, value: str = "close") -> DataFrame:
+    """``symbol, adf, p_value, critical, stationary``: the Dickey-Fuller test with a constant and one lag.
+
+    Two regressors and a constant, from sums: one pass, added up on the map side.
+    """
+    y = F.ln(value) if log else F.col(value).cast("double")
+    x = F.lag(y).over(series())
+    d = series_rows.select(SYMBOL, IDX, y.alias("y"), x.alias("x")).withColumn("z", F.col("x") - F.lag("x").over(series())).withColumn("dy", F.col("y") - F.col("x")).where("z is not null")
+    n = F.count("*")
+    pop = {"xx": F.var_pop("x"), "zz": F.var_pop("z"), "yy": F.var_pop("dy"), "xz": F.covar_pop("x", "z"), "xy": F.covar_pop("x", "dy"), "zy": F.covar_pop("z", "dy")}
+    g = d.groupBy(SYMBOL).agg(n.alias("n"), *((v * n).alias(k) for k, v in pop.items())).withColumn("det", F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz"))
+    g = g.withColumns({"b": ratio(F.col("zz") * F.col("xy") - F.col("xz") * F.col("zy"), F.col("det")), "c": ratio(F.col("xx") * F.col("zy") - F.col("xz") * F.col("xy"), F.col("det"))})
+    variance = (F.col("yy") - F.col("b") * F.col("xy") - F.col("c") * F.col("zy")) / F.nullif(F.col("n") - 3, F.lit(0)) * ratio(F.col("zz"), F.col("det"))
+    t = F.col("adf")
+    polynomial = lambda c, v: sum((F.lit(a) * F.pow(v, k) for k, a in enumerate(c)), F.lit(0.0))
+    p = F.when(t < BOUNDS[0], 0.0).when(t > BOUNDS[2], 1.0).otherwise(norm_cdf(F.when(t <= BOUNDS[1], polynomial(LOWER, t)).otherwise(polynomial(UPPER, t))))
+    g = g.withColumn("adf", F.when(variance > 0, F.col("b") / F.sqrt(variance))).withColumns({"p_value": F.when(t.isNotNull(), p), "critical": polynomial(CRITICAL[alpha], 1 / F.col("n"))})
+    return g.select(SYMBOL, "adf", "p_value", "critical", ((t < F.col("critical")) & (F.col("p_value") < alpha)).alias("stationary"))
+
+
+def not_stationary(matrix: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """``symbol, name`` of the columns of ``matrix(symbol, bar_idx, ...)`` that the test does not find stationary."""
+    long = matrix.select(SYMBOL, IDX, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(F.struct(F.col(SYMBOL), F.col("x.name")).alias("key"), IDX, F.col("x.v").alias("v"))
+    tested = adf(long.withColumnRenamed("key", SYMBOL), alpha, False, "v")
+    return tested.where("not coalesce(stationary, false)").select(F.col(f"{SYMBOL}.{SYMBOL}").alias(SYMBOL), F.col(f"{SYMBOL}.name").alias("name"))
+
+
+def fracdiff_optimal(bars: DataFrame, alpha: float = 0.05, largest: float = 1.0, tolerance: float = 1e-3, threshold: float = 0.01, log: bool = True, least: int = 100) -> DataFrame:
+    """``symbol, d, adf, p_value, corr``: the smallest order of fixed-width differences that the test finds stationary, by halving.
+
+    Where no order does, ``d`` is ``largest`` and the rest null. Each symbol is searched in its own task.
+    """
+    from tickloom.operators.features import ffd_weights
+
+    def p_of(t: float) -> float:
+        if t < BOUNDS[0] or t > BOUNDS[2]:
+            return 0.0 if t < BOUNDS[0] else 1.0
+        return NormalDist().cdf(sum(a * t**k for k, a in enumerate(LOWER if t <= BOUNDS[1] else UPPER)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
         y = np.log(pdf["close"].to_numpy()) if log else pdf["close"].to_numpy(float)
-        if len(y) < 2 * lags + 5:
-            return pd.DataFrame({SYMBOL: pdf[SYMBOL].iloc[:1], "adf": None, "stationary": None})
-        x, target = _regressors(y, "none", lags, True)
-        beta, var, _ = ols(x, target)
-        stat = float(beta[0] / np.sqrt(var[0])) if var[0] > 0 else None
-        return pd.DataFrame({SYMBOL: pdf[SYMBOL].iloc[:1], "adf": stat, "stationary": None if stat is None else stat < -2.86})
-
-    return bars.select(SYMBOL, IDX, "close").groupBy(SYMBOL).applyInPandas(run, f"{SYMBOL} string, adf double, stationary boolean")
+        low, high, found = 0.0, largest, (largest, None, None, None)
+        for _ in range(20):
+            middle = (low + high) / 2
+            weights = np.array(ffd_weights(middle, threshold))
+            diff = np.convolve(y, weights, "valid") if len(weights) <= len(y) else np.empty(0)
+            if len(diff) < least:
+                high = middle
+                continue
+            x, target = _regressors(diff, "none", 1, True)
+            beta, var, _ = ols(x, target)
+            stat = float(beta[0] / np.sqrt(var[0])) if var[0] > 0 else 0.0
+            if p_of(stat) < alpha:
+                found = (middle, stat, p_of(stat), float(np.corrcoef(y[len(y) - len(diff) :], diff)[0, 1]))
+                high = middle
+            else:
+                low = middle
+            if high - low < tolerance:
+                break
+        return pd.DataFrame([[pdf[SYMBOL].iloc[0], *found]], columns=[SYMBOL, "d", "adf", "p_value", "corr"])
+
+    return bars.select(SYMBOL, IDX, "close").groupBy(SYMBOL).applyInPandas(run, f"{SYMBOL} string, d double, adf double, p_value double, corr double")

@@ -138,3 +138,26 @@ def quantile_codes(df: DataFrame, value: str, letters: int) -> DataFrame:
 def sigma_codes(df: DataFrame, value: str, step: float) -> DataFrame:
     """Bands of ``step`` from the symbol's smallest value."""
     return df.withColumn("code", F.floor((F.col(value) - F.min(value).over(Window.partitionBy(SYMBOL))) / step).cast("int"))
+
+
+def nearest_codes(value: Column, levels: list[float]) -> Column:
+    """The number of the level nearest to a value; of two as near, the lower."""
+    gaps = F.array(*(F.struct(F.abs(value - float(x)).alias("gap"), F.lit(k).alias("code")) for k, x in enumerate(sorted(levels))))
+    return F.when(value.isNotNull(), F.array_min(gaps)["code"])
+
+
+def code_entropy(codes: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Bits of the codes within each group."""
+    counts = codes.groupBy(*by, "code").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
+    return counts.withColumn("p", p).groupBy(*by).agg((-F.sum(F.col("p") * F.log2("p"))).alias(name))
+
+
+def microstructure_matrix(ticks: DataFrame, letters: int = 4, step: float = 0.01) -> DataFrame:
+    """Per ``symbol, bar_id``: impact slopes, and the entropies of trade signs, of sizes by quantile, and of returns by bands of ``step``."""
+    by = [SYMBOL, "bar_id"]
+    d = tick_rule(ticks).withColumn("r", F.col("price") / F.lag("price").over(series()) - 1)
+    signs = code_entropy(d.withColumn("code", F.col("tick_rule")), by, "sign_entropy")
+    sizes = code_entropy(quantile_codes(d, "volume", letters), by, "size_entropy")
+    returns = code_entropy(sigma_codes(d.where("r is not null"), "r", step), by, "return_entropy")
+    return trade_lambdas(ticks).join(signs, by).join(sizes, by).join(returns, by, "left")

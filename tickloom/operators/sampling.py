@@ -85,15 +85,18 @@ def triple_barrier_events(events: DataFrame, bars: DataFrame, pt: float, sl: flo
     return out.withColumn("barrier", kind).drop("t1").join(ends, [SYMBOL, "hit_idx"]).withColumnRenamed("hit_ts", "t1").drop("sl_idx", "pt_idx", "v1")
 
 
-def barrier_labels(touched: DataFrame, bars: DataFrame, meta: bool = False, vertical_zero: bool = False) -> DataFrame:
-    """``ret`` over each event and its ``bin``: the sign (0 counts as -1), or with ``meta`` whether the side earned."""
+def barrier_labels(touched: DataFrame, bars: DataFrame, meta: bool = False, levels: tuple[float, float] | None = None) -> DataFrame:
+    """``ret`` over each event and its ``bin``: the sign (0 counts as -1), or with ``levels`` (multiples of ``trgt`` for profit and loss) 0 unless the return lies beyond one; with ``meta`` events that did not earn have 0."""
     p = bars.select(SYMBOL, IDX, F.col("close"))
     out = touched.join(p.select(SYMBOL, F.col(IDX).alias("i0"), F.col("close").alias("p0")), [SYMBOL, "i0"]).join(p.select(SYMBOL, F.col(IDX).alias("hit_idx"), F.col("close").alias("p1")), [SYMBOL, "hit_idx"])
     out = out.withColumn("ret", (F.col("p1") / F.col("p0") - 1) * F.col("side")).drop("p0", "p1")
-    sign = F.when(F.col("ret") > 0, 1).otherwise(0 if meta else -1)
-    if vertical_zero:
-        sign = F.when(F.col("barrier") == "vertical", 0).otherwise(sign)
-    return out.withColumn("bin", sign.cast("int"))
+    label = F.when(F.col("ret") > 0, 1).otherwise(-1)
+    if levels:
+        r = F.col("ret")
+        label = F.when((r > 0) & (r > levels[0] * F.col("trgt")), 1).when((r < 0) & (r < -levels[1] * F.col("trgt")), -1).otherwise(0)
+    if meta:
+        label = F.when(F.col("ret") <= 0, 0).otherwise(label)
+    return out.withColumn("bin", label.cast("int"))
 
 
 def drop_labels(labels: DataFrame, min_share: float = 0.05) -> DataFrame:

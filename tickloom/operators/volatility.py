@@ -109,3 +109,27 @@ def garch_variance(bars: DataFrame, omega: float, alpha: float, beta: float) ->
         return pdf[[SYMBOL, "ts", IDX]].assign(variance=v)
 
     return bars.select(SYMBOL, "ts", IDX, "close").groupBy(SYMBOL).applyInPandas(run, f"{SYMBOL} string, ts timestamp, {IDX} long, variance double")
+
+
+def volatility(bars: DataFrame, method: str, window: int) -> DataFrame:
+    """``bars`` with ``vol`` by a method: ``daily`` or ``hourly`` (returns over so many days or hours), ``parkinson``, ``garman_klass``, ``yang_zhang``, ``rolling`` or ``realised``."""
+    if method in ("daily", "hourly"):
+        return period_volatility(bars, f"{window} {'days' if method == 'daily' else 'hours'}")
+    if method in ("rolling", "realised"):
+        d = bars.withColumn("r", F.ln(F.col("close") / F.lag("close").over(series())))
+        value = full(F.col("r"), F.stddev_samp, window) if method == "rolling" else F.sqrt(full(F.col("r") * F.col("r"), F.sum, window))
+        return d.withColumn("vol", value).drop("r")
+    ways = {"parkinson": parkinson, "garman_klass": garman_klass, "yang_zhang": yang_zhang}
+    if method not in ways:
+        raise ValueError(f"no volatility {method!r}")
+    return ways[method](bars, window)
+
+
+def volatility_choice(bars: DataFrame, methods: list[str], window: int) -> DataFrame:
+    """``symbol, method, loss``: how far each method's forecast of the next squared return was off (QLIKE), least first the best."""
+    out = None
+    for m in methods:
+        d = volatility(bars, m, window).withColumn("next", F.pow(F.ln(F.lead("close").over(series()) / F.col("close")), 2)).where("vol > 0 and next is not null")
+        part = d.groupBy(SYMBOL).agg(F.avg(F.ln(F.col("vol") * F.col("vol")) + F.col("next") / (F.col("vol") * F.col("vol"))).alias("loss")).withColumn("method", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    return out.select(SYMBOL, "method", "loss")

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.mathx import norm_cdf_sql
 from tickloom.operators import bars as B
+from tickloom.operators import bets as S
+from tickloom.operators import breaks as K
 from tickloom.operators import features as X
 from tickloom.operators import learning as N
 from tickloom.operators import matrices as A
+from tickloom.operators import microstructure as M
 from tickloom.operators import sampling as L
 from tickloom.operators import statistics as T
+from tickloom.operators import strategies as Y
 from tickloom.operators import validation as V
 from tickloom.operators import volatility as R
-from tickloom.plans.queries import BARS, BEST_OF_3, BETS, CLOSES, MOMENTS, OHLC, POS, STATE, TICKS, TRADES, W, _bets, _events, _labels, _positions, _sharpe_tests, ev, query, roll, sql
+from tickloom.plans.queries import BARS, BEST_OF_3, BETS, CLOSES, LOWER_P, MOMENTS, OHLC, POS, RULE, SIDE, SIGNAL, STATE, TICKS, TOUCH, TRADES, UPPER_P, W, _bets, _events, _indexed_ticks, _labels, _positions, _sharpe_tests, ev, query, roll, sql
 from tickloom.sources import market as D
 
 # sources
@@ -170,6 +174,127 @@ def nearest_bars(spark, d):
     return L.nearest(marks, bars)
 
 
+SIDED = TOUCH.format(ev="ev").replace("p.close / e.p0 - 1 <= -0.5", "(p.close / e.p0 - 1) * (CASE WHEN e.i0 % 3 = 0 THEN -1 ELSE 1 END) <= -0.3").replace("p.close / e.p0 - 1 >= 1.0", "(p.close / e.p0 - 1) * (CASE WHEN e.i0 % 3 = 0 THEN -1 ELSE 1 END) >= 0.6").replace("p.close / h.p0 - 1", "(p.close / h.p0 - 1) * (CASE WHEN h.i0 % 3 = 0 THEN -1 ELSE 1 END)")
+
+
+def _sided(spark, d):
+    bars = D.daily_bars(spark, d)
+    events = _events(bars).withColumns({"trgt": F.lit(0.3), "side": F.when(F.col("i0") % 3 == 0, -1).otherwise(1)})
+    return L.triple_barrier_events(events, bars, 2.0, 1.0), bars
+
+
+@query(sql(ev(BARS, "bars") + SIDED, "SELECT symbol, i0, hit_idx, barrier, ret, (ret > 0)::INT AS bin FROM lab", "symbol i0 hit_idx barrier bin", "ret"))
+def meta_labels(spark, d):
+    touched, bars = _sided(spark, d)
+    return L.barrier_labels(touched, bars, meta=True).select("symbol", "i0", "hit_idx", "barrier", "ret", "bin")
+
+
+@query(sql(ev(BARS, "bars") + SIDED, "SELECT symbol, i0, CASE WHEN ret > 0 AND ret > 2.0 * 0.3::DOUBLE THEN 1 WHEN ret < 0 AND ret < -1.0 * 0.3::DOUBLE THEN -1 ELSE 0 END AS bin FROM lab", "symbol i0 bin"))
+def three_way_labels(spark, d):
+    touched, bars = _sided(spark, d)
+    return L.barrier_labels(touched, bars, levels=(2.0, 1.0)).select("symbol", "i0", "bin")
+
+
+@query(sql(BETS, "SELECT symbol, i0, prob FROM (SELECT *, 0.3 + (i0 % 61) / 100.0 AS prob FROM ev) WHERE prob > 0.55", "symbol i0", "prob"))
+def confident_events(spark, d):
+    events = _events(D.daily_bars(spark, d)).withColumn("prob", 0.3 + (F.col("i0") % 61) / 100)
+    return L.meta_label_filter(events, F.col("prob"), 0.55).select("symbol", "i0", "prob")
+
+
+# volatility, microstructure, strategies, bets
+
+
+QL = " UNION ALL ".join(f"SELECT symbol, '{m}' AS method, avg(ln(vol * vol) + nx / (vol * vol)) AS loss FROM (SELECT symbol, vol, ln(lead(close) {W} / close) ** 2 AS nx FROM (SELECT *, {v} AS vol FROM vb)) WHERE vol > 0 AND nx IS NOT NULL GROUP BY symbol" for m, v in (("parkinson", f"sqrt({roll('ln(high / low) ** 2 / (4 * ln(2))', 20)})"), ("rolling", roll("r", 20, "stddev_samp")), ("realised", f"sqrt({roll('r * r', 20, 'sum')})")))
+
+
+@query(sql(f"{BARS}, vb AS (SELECT *, ln(close / lag(close) {W}) AS r FROM bars)", QL, "symbol method", "loss"))
+def volatility_choice(spark, d):
+    return R.volatility_choice(D.daily_bars(spark, d), ["parkinson", "rolling", "realised"], 20)
+
+
+def _bits(codes: str, name: str) -> str:
+    return f"(SELECT symbol, bar_id, -sum(n / t * log2(n / t)) AS {name} FROM (SELECT symbol, bar_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY symbol, bar_id) AS t FROM ({codes}) GROUP BY symbol, bar_id, code) GROUP BY symbol, bar_id)"
+
+
+CODES = RULE + ", qv AS (SELECT symbol, quantile_cont(volume, [0.25, 0.5, 0.75]) AS q FROM tr GROUP BY symbol), rr AS (SELECT symbol, bar_id, floor((x - min(x) OVER (PARTITION BY symbol)) / 0.5) AS code FROM (SELECT symbol, bar_id, price / (price - dp) - 1 AS x FROM tr) WHERE x IS NOT NULL)"
+
+
+@query(sql(CODES, f"SELECT * FROM {_bits('SELECT symbol, bar_id, tick_rule AS code FROM tr', 'sign_entropy')} JOIN {_bits('SELECT symbol, bar_id, len(list_filter(q, lambda c: c < volume)) AS code FROM tr JOIN qv USING (symbol)', 'size_entropy')} USING (symbol, bar_id) LEFT JOIN {_bits('SELECT * FROM rr', 'return_entropy')} USING (symbol, bar_id)", "symbol bar_id", "sign_entropy size_entropy return_entropy"))
+def microstructure_matrix(spark, d):
+    return M.microstructure_matrix(_indexed_ticks(spark, d), 4, 0.5).select("symbol", "bar_id", "sign_entropy", "size_entropy", "return_entropy")
+
+
+@query(sql(TICKS, "SELECT symbol, seq, arg_min(k, row(abs(price - x), k))::INT AS code FROM ticks, (SELECT unnest([1.0, 10.0, 50.0, 200.0]) AS x, unnest([0, 1, 2, 3]) AS k) GROUP BY symbol, seq, price", "symbol seq code"))
+def nearest_encoding(spark, d):
+    return D.events_ticks(spark, d).select("symbol", "seq", M.nearest_codes(F.col("price"), [1.0, 10.0, 50.0, 200.0]).alias("code"))
+
+
+@query(sql(BARS, f"SELECT symbol, ts, 'crossover_5_20' AS strategy, side FROM {SIDE} UNION ALL SELECT symbol, ts, 'reversion_20_2', CASE WHEN close >= mid + 2 * dev THEN -1 WHEN close <= mid - 2 * dev THEN 1 ELSE 0 END FROM (SELECT *, {roll('close', 20)} AS mid, {roll('close', 20, 'stddev_pop')} AS dev FROM bars)", "symbol ts strategy side"))
+def strategy_sides(spark, d):
+    return Y.sides(D.daily_bars(spark, d), [Y.crossover(5, 20), Y.reversion()])
+
+
+PLACE = f"pb AS (SELECT *, lag(p) {W} AS b, {roll('w', 5)} AS late FROM (SELECT *, (close - (mid - 2 * dev)) / nullif(4 * dev, 0) AS p, 4 * dev / nullif(mid, 0) AS w FROM (SELECT *, {roll('close', 20)} AS mid, {roll('close', 20, 'stddev_pop')} AS dev FROM bars)))"
+
+
+@query(sql(f"{BARS}, {PLACE}", "SELECT symbol, ts, coalesce(b < 0.2 AND p >= 0.2 AND w > late, FALSE)::INT AS long_entry, coalesce(b > 0.8 AND p <= 0.8, FALSE)::INT AS long_exit, coalesce(b > 0.8 AND p <= 0.8 AND w > late, FALSE)::INT AS short_entry, coalesce(b < 0.2 AND p >= 0.2, FALSE)::INT AS short_exit FROM pb", "symbol ts long_entry long_exit short_entry short_exit"))
+def band_signals(spark, d):
+    return Y.band_signals(D.daily_bars(spark, d)).select("symbol", "ts", "long_entry", "long_exit", "short_entry", "short_exit")
+
+
+@query()
+def strategy_experiment(spark, d):
+    return Y.experiment(D.daily_bars(spark, d), Y.crossover(5, 20), 0.3, 1.0, 1.0, 20).select("symbol", "i0", "barrier", "bin", "net", "equity")
+
+
+MIX = [-2.0, 3.0, 1.5, 2.5, 0.4]
+CDF = f"(0.4 * {norm_cdf_sql('((x + 2.0) / 1.5)')} + 0.6 * {norm_cdf_sql('((x - 3.0) / 2.5)')})"
+SWEPT = BETS + ", cs AS (SELECT symbol, ts, n_long - n_short AS c_t FROM (SELECT t.symbol, t.ts, (SELECT count(*) FROM bet b WHERE b.symbol = t.symbol AND side > 0 AND b.t0 <= t.ts AND t.ts < b.t1) AS n_long, (SELECT count(*) FROM bet b WHERE b.symbol = t.symbol AND side < 0 AND b.t0 <= t.ts AND t.ts < b.t1) AS n_short FROM (SELECT DISTINCT symbol, t0 AS ts FROM bet) t))"
+
+
+@query(sql(SWEPT, f"SELECT symbol, ts, c_t, CASE WHEN c_t >= 0 THEN (f - f0) / (1 - f0) ELSE (f - f0) / f0 END AS bet_size FROM (SELECT *, {CDF.replace('(x ', '(c_t ')} AS f, {CDF.replace('(x ', '(0.0 ')} AS f0 FROM cs)", "symbol ts c_t", "bet_size"))
+def reserve_sizes(spark, d):
+    return S.reserve_sizes(_bets(spark, d), MIX).select("symbol", "ts", "c_t", "bet_size")
+
+
+@query()
+def bet_size_reserve(spark, d):
+    return S.reserve_sizes(_bets(spark, d)).select("symbol", "ts", "c_t", "bet_size")
+
+
+@query(sql(BARS, "SELECT symbol, ts, sign(x) * abs(x) ** 1.5 AS bet_size, CAST(trunc(sign(x) * abs(x) ** 1.5 * 50) AS INT) AS target FROM (SELECT symbol, ts, (open - close) / high AS x FROM bars)", "symbol ts target", "bet_size"))
+def bet_size_power(spark, d):
+    rows = D.daily_bars(spark, d).select("symbol", "ts", F.lit(50).alias("most"), (F.col("close") / F.col("high")).alias("price"), (F.col("open") / F.col("high")).alias("forecast"))
+    return S.power_sizes(rows.withColumns({"forecast": (F.col("forecast") - F.col("price")), "price": F.lit(0.0)}), 1.5).select("symbol", "ts", "target", "bet_size")
+
+
+AVERAGED = f", sg AS (SELECT *, side * {SIGNAL} AS signal FROM bet), av AS (SELECT t.symbol, t.ts, coalesce((SELECT avg(signal) FROM sg WHERE sg.symbol = t.symbol AND sg.t0 <= t.ts AND t.ts < sg.t1), 0) AS signal FROM (SELECT symbol, t0 AS ts FROM sg UNION SELECT symbol, t1 FROM sg) t)"
+
+
+@query(sql(BETS + AVERAGED, "SELECT symbol, ts, least(greatest(round_even(round(signal, 9) / 0.05, 0) * 0.05, -1), 1) AS size FROM av", "symbol ts", "size"))
+def bet_size_averaged(spark, d):
+    """The whole chain: signal, average over open bets, steps."""
+    a = S.average_active(_bets(spark, d).withColumn("signal", S.signal(F.col("prob"), 2, F.col("side"))))
+    return a.select("symbol", "ts", S.discrete(F.round("signal", 9), 0.05).alias("size"))
+
+
+LONG = BARS + ", vals AS (" + " UNION ALL ".join(f"SELECT symbol, bar_idx, '{k}' AS name, {v} AS v FROM bars" for k, v in (("close", "close"), ("trend", "bar_idx + close / 1e6"), ("volume", "volume"))) + """),
+reg AS (SELECT symbol, name, v - x AS dy, x, x - lag(x) OVER (PARTITION BY symbol, name ORDER BY bar_idx) AS z FROM (SELECT *, lag(v) OVER (PARTITION BY symbol, name ORDER BY bar_idx) AS x FROM vals)),
+su AS (SELECT symbol, name, count(*) AS n, regr_sxx(x, x) AS xx, regr_sxx(z, z) AS zz, regr_syy(dy, dy) AS yy, regr_sxy(x, z) AS xz, regr_sxy(dy, x) AS xy, regr_sxy(dy, z) AS zy FROM reg WHERE z IS NOT NULL GROUP BY symbol, name),
+tt AS (SELECT symbol, name, n, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / det) AS t FROM (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS c FROM su))"""
+
+
+@query(sql(LONG, f"SELECT symbol, name FROM (SELECT *, CASE WHEN t < -18.83 THEN 0 WHEN t > 2.74 THEN 1 WHEN t <= -1.61 THEN {norm_cdf_sql('(' + LOWER_P + ')')} ELSE {norm_cdf_sql('(' + UPPER_P + ')')} END AS p, -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3 AS critical FROM tt) WHERE NOT coalesce(t < critical AND p < 0.05, FALSE)", "symbol name"))
+def not_stationary(spark, d):
+    bars = D.daily_bars(spark, d)
+    return K.not_stationary(bars.withColumn("trend", F.col("bar_idx") + F.col("close") / 1e6), ["close", "trend", "volume"])
+
+
+@query()
+def fracdiff_optimal(spark, d):
+    return K.fracdiff_optimal(D.daily_bars(spark, d))
+
+
 # statistics
 
 

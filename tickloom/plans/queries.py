@@ -441,9 +441,9 @@ def tick_rule(spark, d):
     return M.tick_rule(_indexed_ticks(spark, d)).select("symbol", "ts", "seq", "tick_rule")
 
 
-@query(sql(RULE, "SELECT symbol, bar_id, sum(price * volume) / sum(volume) AS vwap, avg(volume) AS avg_size, CAST(sum(tick_rule) AS BIGINT) AS tick_rule_sum, sum(tick_rule * volume * dp) / sum(tick_rule * volume * tick_rule * volume) AS kyle_lambda, 1000 * sum(price * volume * abs(r)) / sum((price * volume) ** 2) AS amihud FROM tr WHERE dp IS NOT NULL GROUP BY symbol, bar_id", "symbol bar_id tick_rule_sum", "vwap avg_size kyle_lambda amihud"))
+@query(sql(RULE, "SELECT symbol, bar_id, sum(price * volume) / sum(volume) AS vwap, avg(volume) AS avg_size, CAST(sum(tick_rule) AS BIGINT) AS tick_rule_sum, sum(tick_rule * volume * dp) / sum(tick_rule * volume * tick_rule * volume) AS kyle_lambda, 1000 * sum(price * volume * abs(r)) / sum((price * volume) ** 2) AS amihud, 1000 * sum(tick_rule * sqrt(price * volume) * abs(r)) / nullif(sum(tick_rule * tick_rule * price * volume), 0) AS hasbrouck, sum(tick_rule * volume * dp) / sum(tick_rule * volume * tick_rule * volume) / sqrt((sum(dp * dp) - sum(tick_rule * volume * dp) ** 2 / sum((tick_rule * volume) ** 2)) / (count(*) - 1) / sum((tick_rule * volume) ** 2)) AS kyle_t FROM tr WHERE dp IS NOT NULL GROUP BY symbol, bar_id", "symbol bar_id tick_rule_sum", "vwap avg_size kyle_lambda amihud hasbrouck kyle_t"))
 def trade_lambdas(spark, d):
-    return M.trade_lambdas(_indexed_ticks(spark, d)).select("symbol", "bar_id", "tick_rule_sum", "vwap", "avg_size", "kyle_lambda", (1000 * F.col("amihud_lambda")).alias("amihud"))
+    return M.trade_lambdas(_indexed_ticks(spark, d)).select("symbol", "bar_id", "tick_rule_sum", "vwap", "avg_size", "kyle_lambda", (1000 * F.col("amihud_lambda")).alias("amihud"), (1000 * F.col("hasbrouck_lambda")).alias("hasbrouck"), F.col("kyle_t_stat").alias("kyle_t"))
 
 
 @query(sql(RULE, f"SELECT symbol, bar_idx, ({roll('g', 10)}) / nullif(volume, 0) AS vpin FROM (SELECT symbol, bar_id AS bar_idx, sum(volume) AS volume, abs(2 * sum(CASE WHEN tick_rule > 0 THEN volume ELSE 0 END) - sum(volume)) AS g FROM tr GROUP BY symbol, bar_id)", "symbol bar_idx", "vpin"))
@@ -510,7 +510,10 @@ ADF = f"""{BARS}, reg AS (SELECT symbol, y - x AS dy, x, x - lag(x) {W} AS z FRO
 su AS (SELECT symbol, count(*) AS n, regr_sxx(x, x) AS xx, regr_sxx(z, z) AS zz, regr_syy(dy, dy) AS yy, regr_sxy(x, z) AS xz, regr_sxy(dy, x) AS xy, regr_sxy(dy, z) AS zy FROM reg WHERE z IS NOT NULL GROUP BY symbol)"""
 
 
-@query(sql(ADF, "SELECT symbol, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / det) AS adf, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / det) < -2.86 AS stationary FROM (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS c FROM su)", "symbol stationary", "adf"))
+LOWER_P, UPPER_P = "2.1659 + 1.4412 * t + 0.038269 * t * t", "1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t"
+
+
+@query(sql(ADF + ", ts AS (SELECT symbol, n, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / det) AS t FROM (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS c FROM su))", f"SELECT symbol, t AS adf, p_value, critical, t < critical AND p_value < 0.05 AS stationary FROM (SELECT symbol, t, CASE WHEN t < -18.83 THEN 0 WHEN t > 2.74 THEN 1 WHEN t <= -1.61 THEN {norm_cdf_sql('(' + LOWER_P + ')')} ELSE {norm_cdf_sql('(' + UPPER_P + ')')} END AS p_value, -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3 AS critical FROM ts)", "symbol stationary", "adf p_value critical"))
 def adf_stationarity(spark, d):
     return K.adf(D.daily_bars(spark, d))
 
@@ -608,14 +611,14 @@ def trade_list(spark, d):
     return T.trades(_positions(spark, d))
 
 
-@query(sql(TRADES, "SELECT symbol, count(*) AS n_trades, avg((ret > 0)::INT) AS win_rate, avg(CASE WHEN ret > 0 THEN ret END) AS avg_win, sum(CASE WHEN ret > 0 THEN ret END) / -sum(CASE WHEN ret <= 0 THEN ret END) AS profit_factor, avg(ret) AS expectancy, max(ret) AS best, min(ret) AS worst FROM tl GROUP BY symbol", "symbol n_trades", "win_rate avg_win profit_factor expectancy best worst"))
+@query(sql(TRADES, "SELECT symbol, count(*) AS n_trades, avg((ret > 0)::INT) AS win_rate, avg(CASE WHEN ret > 0 THEN ret END) AS avg_win, avg(CASE WHEN ret <= 0 THEN ret END) AS avg_loss, avg((ret > 0)::INT) - (1 - avg((ret > 0)::INT)) / (avg(CASE WHEN ret > 0 THEN ret END) / -avg(CASE WHEN ret <= 0 THEN ret END)) AS kelly, sum(CASE WHEN ret > 0 THEN ret END) / -sum(CASE WHEN ret <= 0 THEN ret END) AS profit_factor, avg(ret) AS expectancy, max(ret) AS best, min(ret) AS worst, any_value(max_wins) AS max_wins, any_value(max_losses) AS max_losses FROM tl JOIN (SELECT symbol, coalesce(max(k) FILTER (win), 0) AS max_wins, coalesce(max(k) FILTER (NOT win), 0) AS max_losses FROM (SELECT symbol, win, run, count(*) AS k FROM (SELECT symbol, ret > 0 AS win, row_number() OVER (PARTITION BY symbol ORDER BY start) - row_number() OVER (PARTITION BY symbol, ret > 0 ORDER BY start) AS run FROM tl) GROUP BY ALL) GROUP BY symbol) USING (symbol) GROUP BY symbol", "symbol n_trades max_wins max_losses", "win_rate avg_win avg_loss kelly profit_factor expectancy best worst"))
 def trade_statistics(spark, d):
-    return T.trade_statistics(T.trades(_positions(spark, d))).select("symbol", "n_trades", "win_rate", "avg_win", "profit_factor", "expectancy", "best", "worst")
+    return T.trade_statistics(T.trades(_positions(spark, d))).select("symbol", "n_trades", "max_wins", "max_losses", "win_rate", "avg_win", "avg_loss", "kelly", "profit_factor", "expectancy", "best", "worst")
 
 
-@query(sql(EQUITY, f"SELECT r.symbol, exp(sum(ln(1 + ret))) - 1 AS total_return, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252) AS sortino, max(dd) AS max_drawdown, sqrt(avg(dd * dd)) AS ulcer, any_value(v) AS var_5, avg(CASE WHEN ret <= v THEN ret END) AS cvar_5 FROM (SELECT r.*, 1 - e.equity / greatest(max(e.equity) OVER (PARTITION BY r.symbol ORDER BY r.bar_idx), 1) AS dd, quantile_cont(r.ret, 0.05) OVER (PARTITION BY r.symbol) AS v FROM rets r JOIN eq e USING (symbol, ts)) r GROUP BY r.symbol", "symbol", "total_return volatility sortino max_drawdown ulcer var_5 cvar_5"))
+@query(sql(EQUITY, f"SELECT r.symbol, exp(sum(ln(1 + ret))) - 1 AS total_return, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS annual_return, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252) AS sortino, max(dd) AS max_drawdown, avg(dd) AS avg_drawdown, skewness(ret) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) AS skew, kurtosis_pop(ret) AS kurt, avg((ret > 0)::INT) AS positive_share, count(*) AS n, (exp(sum(ln(1 + ret)) * 252 / count(*)) - 1) / nullif(max(dd), 0) AS calmar, sqrt(avg(dd * dd)) AS ulcer, any_value(v) AS var_5, avg(CASE WHEN ret <= v THEN ret END) AS cvar_5 FROM (SELECT r.*, 1 - e.equity / greatest(max(e.equity) OVER (PARTITION BY r.symbol ORDER BY r.bar_idx), 1) AS dd, quantile_cont(r.ret, 0.05) OVER (PARTITION BY r.symbol) AS v FROM rets r JOIN eq e USING (symbol, ts)) r GROUP BY r.symbol", "symbol n", "total_return annual_return volatility sharpe sortino max_drawdown avg_drawdown skew kurt positive_share calmar ulcer var_5 cvar_5"))
 def performance_metrics(spark, d):
-    return T.performance(_returns(spark, d)).select("symbol", "total_return", "volatility", "sortino", "max_drawdown", "ulcer", "var_5", "cvar_5")
+    return T.performance(_returns(spark, d))
 
 
 @query(sql(BARS, f"SELECT symbol, 365.25 * 86400 / quantile_cont(s, 0.5) AS periods FROM (SELECT symbol, date_diff('microsecond', lag(ts) {W}, ts) / 1e6 AS s FROM bars) GROUP BY symbol", "symbol", "periods"))
@@ -695,7 +698,8 @@ def moments(spark, d):
 
 @query()
 def mixture_fit(spark, d):
-    return S.mixture(spark, [0.7, 2.6, 0.4, 25.0, -59.8], runs=500)
+    m = S.raw_moments(_scored(spark, d).withColumn("x", F.col("weight") / 10), "x").first()
+    return S.mixture(spark, [m[f"m{k}"] for k in range(1, 6)], runs=500)
 
 
 @query(sql(SCORED, "SELECT p, CASE WHEN p > 0.3 THEN c / t ELSE 0 END AS bet_size FROM (SELECT p, sum(w) OVER (ORDER BY p) AS c, sum(w) OVER () AS t FROM (SELECT p, count(*) FILTER (y = 1 AND p > 0.3) AS w FROM scored GROUP BY p))", "", "p bet_size"))
@@ -811,14 +815,15 @@ def ou_parameters(spark, d):
     return G.ou_parameters(D.daily_bars(spark, d))
 
 
-@query(sql(BARS, f"SELECT symbol, avg(r) * 252 AS drift, stddev_samp(r) * sqrt(252) AS volatility, avg(j::INT) AS jump_share FROM (SELECT *, abs(r - avg(r) OVER p) > 2.5 * stddev_samp(r) OVER p AS j FROM (SELECT symbol, ln(close / lag(close) {W}) AS r FROM bars) WHERE r IS NOT NULL WINDOW p AS (PARTITION BY symbol)) GROUP BY symbol", "symbol", "drift volatility jump_share"))
+@query(sql(BARS, f"SELECT symbol, avg(r) * 252 AS drift, stddev_samp(r) * sqrt(252) AS volatility, avg(j::INT) AS jump_share, avg(CASE WHEN j THEN r END) AS jump_mean, regr_slope(CASE WHEN r <> 0 THEN ln(abs(r)) END, lp) AS elasticity FROM (SELECT *, abs(r - avg(r) OVER p) > 2.5 * stddev_samp(r) OVER p AS j FROM (SELECT symbol, ln(close / lag(close) {W}) AS r, ln(lag(close) {W}) AS lp FROM bars) WHERE r IS NOT NULL WINDOW p AS (PARTITION BY symbol)) GROUP BY symbol", "symbol", "drift volatility jump_share jump_mean elasticity"))
 def process_estimates(spark, d):
-    return G.process_estimates(D.daily_bars(spark, d)).select("symbol", "drift", "volatility", "jump_share")
+    return G.process_estimates(D.daily_bars(spark, d))
 
 
 @query()
 def barrier_simulation(spark, d):
-    return G.simulate_barriers(spark, 0.9, 1.0, 0.0, 0.0, [1.0, 2.0], [1.0, 2.0], paths=512)
+    ou = G.ou_parameters(D.daily_bars(spark, d)).agg(F.avg("phi").alias("phi"), F.avg("sigma").alias("sigma")).first()
+    return G.simulate_barriers(spark, ou.phi, 1.0, 0.0, 0.0, [1.0, 2.0], [1.0, 2.0], paths=512)
 
 
 RULES = [(0.5, 0.3), (1.0, 0.5)]
