@@ -54,7 +54,7 @@ class _Index(dict):
 class Encoder:
     """``cache_pieces`` and ``cache_chars`` bound the worker's cache, which starts anew beyond them."""
 
-    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 1_000_000, cache_chars: int = 16 << 20):
+    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 1_500_000, cache_chars: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,8 +92,8 @@ class Encoder:
                 joined.append((key, piece))
             else:
                 self.index[key] = np.array(self._library([piece])[0], self.kind).tobytes()
-        for k in range(0, len(joined), 4096):
-            keys, part = zip(*joined[k : k + 4096], strict=True)
+        for k in range(0, len(joined), 512):
+            keys, part = zip(*joined[k : k + 512], strict=True)
             ids, n = self._each(list(part))
             raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
             ends = (np.cumsum(n) * size).tolist()
@@ -114,18 +114,20 @@ class Encoder:
     def _group(self, group: list) -> Iterator[bytes]:
         if len(self.index) > self.limits[0] or self.chars > self.limits[1]:
             self._clear()
-        find = self.index.__getitem__
-        found = [split and list(map(find, split)) for _, split in group]
-        if self.index.new:
-            self._learn(list(dict.fromkeys(self.index.new)))
-            self.index.new.clear()
-        for (text, split), got in zip(group, found, strict=True):
+        find, new = self.index.__getitem__, self.index.new
+        found = []
+        for text, split in group:
+            before = len(new)
+            found.append((text, split, split and list(map(find, split)), len(new) > before))
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+            new.clear()
+        for text, split, got, partly in found:
             if split is None:
                 yield np.array(self._library([text])[0], self.kind).tobytes()
                 continue
-            if None in got:
-                for i in [i for i, x in enumerate(got) if x is None]:
-                    got[i] = find(split[i])
+            if partly:
+                got = map(find, split)
             yield b"".join(got)
 
     def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
