@@ -45,6 +45,10 @@ def test_counts_and_cache(spark):
     assert _table(token_counts(frame(spark), WORD, cache).collect()) == want  # nothing is missing now
     assert spark.read.parquet(cache).count() == stored
     assert token_counts(frame(spark, ROWS[:0]), WORD, cache).count() == 0
+    more = [(100 + k, f"some {k} more") for k in range(3)]  # a few are missing, most are not
+    new = _table((i, len((t or "").encode()), n := len(ids(WORD, t)), n > 2048) for i, t in ROWS + more)
+    assert _table(token_counts(frame(spark, ROWS + more), WORD, cache).collect()) == new
+    assert spark.read.parquet(cache).count() == stored + 3
 
 
 def test_counts_query(spark, sf_dir):
@@ -85,6 +89,11 @@ def test_sequence_views_do_not_copy(spark):
     reader = SequenceReader(index.first().file)
     views = list(reader.ids(0, index.first().n_tokens))
     assert not views[0].flags.owndata and pa.total_allocated_bytes() - before < 4096
+    n = index.first().n_tokens
+    for i in range(-(-n // 64)):
+        tokens, mask = reader.sequence(i)
+        bits, first = reader.mask_bits(i)
+        assert mask.sum() == min(64, n - 64 * i) and mask[: mask.sum()].all() and not tokens.flags.owndata and not bits.flags.owndata and first < 8
 
 
 def check_packing(rows, docs, capacity):

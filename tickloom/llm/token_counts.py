@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import read, scratch, text_column
+from tickloom.llm.common import discard, materialise, read, scratch, text_column
 from tickloom.llm.encoding import encoder, tokenizer_digest
 
 CACHE = "content binary, n_tokens long, tokenizer string"
+#: Missing digests that are broadcast to pick out their texts; beyond, a shuffle by digest does.
+BROADCAST_MISSES = 500_000
 
 
-def _normal(text):
+def _normal(text: bytes) -> bytes:
     """Runs of white space become one space and go at the ends: the tokenizer drops them anyway.
 
     A text with a special token's opening stays as it is.
     """
-    return F.when(text.contains("<|"), text).otherwise(F.trim(F.regexp_replace(text, r"[ \t\n\r\x0B\f]+", " ")))
+    return text if b"<|" in text else b" ".join(text.split())
+
+
+def _normals(batches):
+    for b in batches:
+        yield b, [_normal(t) for t in b.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+
+
+def _digests(batches):
+    for b, normal in _normals(batches):
+        yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), pa.array([hashlib.sha256(t).digest() for t in normal], pa.binary())], ["doc_id", "n_bytes", "content"])
+
+
+def _texts(batches):
+    for _, normal in _normals(batches):
+        yield pa.record_batch([pa.array([hashlib.sha256(t).digest() for t in normal], pa.binary()), pa.array(normal, pa.binary()).cast(pa.string())], ["content", "normal"])
 
 
 def _count(path: str):
@@ -45,21 +64,27 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
 
     Digests of normalised content are joined to the counts that the cache (Parquet at ``cache``,
     one folder a tokenizer version) holds; each distinct missing content is encoded once and its
-    count appended. Copies are combined on the map side, before any shuffle of texts.
+    count appended. Only texts of missing contents are shuffled, copies combined on the map side; if
+    the cache holds all, none is.
 
-    A null text counts as empty (0 tokens); repeated rows and repeated or null ids each keep their
-    own row; an empty table gives an empty result; other columns are ignored. The tokenizer must
-    drop white space between words.
+    A null text counts as empty (0 tokens); very long texts are taken whole; repeated rows and
+    repeated or null ids each keep their own row; an empty table gives an empty result; other columns
+    are ignored. The tokenizer must drop white space between words.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     text = text_column(docs)
-    normal = docs.select(_normal(text).alias("normal")).select(F.unhex(F.sha2("normal", 256)).alias("content"), "normal")
-    distinct = normal.groupBy("content").agg(F.first("normal").alias("normal"))
-    missing = distinct.join(_stored(spark, cache, version), "content", "left_anti")
-    counted = missing.mapInArrow(_count(tokenizer_path), "content binary, n_tokens long")
-    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    keys = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(_normal(text), 256)).alias("content"))
+    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    keys = materialise(rows.mapInArrow(_digests, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, content binary"), "digests")
+    missing = materialise(keys.select("content").distinct().join(_stored(spark, cache, version), "content", "left_anti"), "missing")
+    n = missing.count()
+    if n:
+        texts = rows.select("text").mapInArrow(_texts, "content binary, normal string")
+        few = n <= BROADCAST_MISSES and 2 * n <= keys.count()
+        distinct = (texts.join(F.broadcast(missing), "content", "left_semi") if few else texts).groupBy("content").agg(F.first("normal").alias("normal"))
+        wanted = distinct if few else distinct.join(missing, "content", "left_semi")
+        wanted.mapInArrow(_count(tokenizer_path), "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    discard(missing)
     return keys.join(_stored(spark, cache, version), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialise, read, scratch, shuffle_partitions, text_column
 from tickloom.llm.encoding import encoder
 
+#: Text that a file holds about.
+FILE_BYTES = 256 << 20
 INDEX = "file string, doc_id long, first long, n_tokens long"
 
 
@@ -140,7 +142,10 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
     """
     fs, path = _open_fs(folder)
     fs.create_dir(path, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    text = text_column(docs)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    files = max(shuffle_partitions(docs.sparkSession), -(-total // FILE_BYTES))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return materialise(ordered.mapInArrow(_writing(folder, tokenizer, end_id, length, rows), INDEX), "token-index")
 
 
@@ -169,7 +174,7 @@ def read_sequences(index: DataFrame) -> DataFrame:
                 out_crc.append(crc)
             yield pa.record_batch([b.column("doc_id"), pa.array(out_start, pa.int64()), b.column("n_tokens"), pa.array(out_crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    by_file = index.repartition(shuffle_partitions(index.sparkSession), "file").sortWithinPartitions("file", "first")
+    by_file = index.repartition(max(shuffle_partitions(index.sparkSession), len(starts)), "file").sortWithinPartitions("file", "first")
     return by_file.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
