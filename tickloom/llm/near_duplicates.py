@@ -328,7 +328,7 @@ def digested(docs: DataFrame) -> DataFrame:
 class Join:
     """Links and components of the distinct contents of a table with ``doc_id, text``."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, longest: int = 4096, segment_keys: int = 1 << 19, flush: int = 4 << 20, cell: int = 2048, cell_bytes: int = 32 << 20):
+    def __init__(self, docs: DataFrame, width: int, percent: int, longest: int = 4096, segment_keys: int = 1 << 19, flush: int = 2 << 20, cell: int = 2048, cell_bytes: int = 32 << 20):
         self.spark = spark = docs.sparkSession
         self.width, self.percent, self.bands = width, percent, Bands(percent)
         own = digested(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")))

@@ -7,7 +7,7 @@ Texts are dealt once into buckets by document; every later step reads that one e
    gaps, by segments of the sketch, and are added up segment by segment. A bucket gets back one bit
    for each of its cells: whether the merged count is two or more. Counts only overestimate, so
    that no repeated window is lost.
-2. Each bucket sends 96-bit digests of the windows whose cells are repeated in every row, with the
+2. Each bucket sends 96-bit digests (from two independent hashes of the words) of the windows whose cells are repeated in every row, with the
    smallest document that holds each; digests are grouped exactly, and a bucket gets back one bit
    for each: whether another bucket holds the window in a smaller document.
 3. Each bucket drops the words under windows that start in a smaller document.
@@ -56,7 +56,7 @@ class Bucket:
                 start = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(0, n - size + 1)) - np.maximum(0, n - size + 1), np.maximum(0, n - size + 1)) + w.rows[row]
                 h = w.hashes()
                 high.append(windows(h, size)[start])
-                low.append((windows(h, size, 1)[start] >> _U(32)).astype(np.uint32))
+                low.append((windows(w.hashes(1), size, 1)[start] >> _U(32)).astype(np.uint32))
                 doc.append(ids[row])
                 self.parts.append((part, w, start))
         self.high = np.concatenate(high) if high else np.empty(0, _U)
