@@ -107,7 +107,7 @@ def currency_matrix(bars: DataFrame, window: int = 20, long: int = 50) -> DataFr
         "roc": F.col("close") / F.lag("close", window).over(series()) - 1, "efficiency": ratio(F.abs(F.col("close") - F.lag("close", window).over(series())), full(F.col("step"), F.sum, window)),
         "slope": F.when(F.count("close").over(w) == window, F.regr_slope("close", IDX).over(w)), "higher_highs": full(F.col("hh"), F.sum, window), "lower_lows": full(F.col("ll"), F.sum, window),
         "vol_regime": ratio(F.col("vol"), full(F.col("vol"), F.avg, long)), "tail": tail, "stress": (F.col("ret") < F.col("var_5")).cast("int"),
-        "strength": full(F.col("ret") - F.col("others"), F.sum, window), "with_others": F.when(F.count(F.col("ret") + F.col("others")).over(w) == window, F.corr("ret", "others").over(w)),
+        "strength": full(F.col("ret") - F.col("others"), F.sum, window), "with_others": F.when(F.count(F.col("ret") + F.col("others")).over(w) == window, F.covar_pop("ret", "others").over(w) / F.nullif(F.stddev_pop("ret").over(w) * F.stddev_pop("others").over(w), F.lit(0.0))),
     }).withColumn("cvar_5", F.when(F.col("var_5").isNotNull(), F.aggregate("tail", F.lit(0.0), lambda s, x: s + x) / F.size("tail")))
     made = ["roc", "efficiency", "slope", "higher_highs", "lower_lows", "vol", "vol_regime", "var_5", "cvar_5", "stress", "strength", "with_others"]
     known = {c: F.coalesce(F.last(c, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0)) for c in made}

@@ -65,7 +65,7 @@ def rolling_autocorrelation(bars: DataFrame, window: int) -> DataFrame:
     """Correlation of returns with those before, ``window - 1`` pairs."""
     d = bars.withColumn("ret", F.col("close") / F.lag("close").over(series()) - 1).withColumn("before", F.lag("ret").over(series()))
     w = series().rowsBetween(-(window - 2), 0)
-    return d.withColumn("autocorr", F.when(F.count("before").over(w) == window - 1, F.corr("ret", "before").over(w))).drop("before")
+    return d.withColumn("autocorr", F.when(F.count("before").over(w) == window - 1, F.covar_pop("ret", "before").over(w) / F.nullif(F.stddev_pop("ret").over(w) * F.stddev_pop("before").over(w), F.lit(0.0)))).drop("before")
 
 
 def lagged_returns(bars: DataFrame, lags: list[int], periods: int) -> DataFrame:

@@ -140,7 +140,7 @@ C50 = "OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND
 C20 = "OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 CURRENCIES = f"""{BARS}, u0 AS (SELECT *, ln(close) - lag(ln(close)) {W} AS ret FROM bars), u1 AS (SELECT *, sum(ret) OVER (PARTITION BY ts) AS all_ret, count(ret) OVER (PARTITION BY ts) AS n_ret FROM u0),
 u2 AS (SELECT *, last_value(CASE WHEN n_ret > 1 THEN (all_ret - ret) / (n_ret - 1) END IGNORE NULLS) {W} AS others, {roll('ret', 20, 'stddev_samp')} AS vol, CASE WHEN count(ret) {C50} = 50 THEN quantile_cont(ret, 0.05) {C50} END AS var_5, CASE WHEN count(ret) {C50} = 50 THEN list(ret) {C50} END AS last50, abs(close - lag(close) {W}) AS step, (high > lag(high) {W})::INT AS hh, (low < lag(low) {W})::INT AS ll FROM u1),
-u3 AS (SELECT symbol, ts, bar_idx, close / lag(close, 20) {W} - 1 AS roc, abs(close - lag(close, 20) {W}) / nullif({roll('step', 20, 'sum')}, 0) AS efficiency, CASE WHEN count(*) {C20} = 20 THEN regr_slope(close, bar_idx) {C20} END AS slope, {roll('hh', 20, 'sum')} AS higher_highs, {roll('ll', 20, 'sum')} AS lower_lows, vol, vol / nullif({roll('vol', 50)}, 0) AS vol_regime, var_5, list_avg(list_filter(last50, lambda x: x <= var_5)) AS cvar_5, (ret < var_5)::INT AS stress, {roll('ret - others', 20, 'sum')} AS strength, CASE WHEN count(ret + others) {C20} = 20 THEN corr(ret, others) {C20} END AS with_others FROM u2)"""
+u3 AS (SELECT symbol, ts, bar_idx, close / lag(close, 20) {W} - 1 AS roc, abs(close - lag(close, 20) {W}) / nullif({roll('step', 20, 'sum')}, 0) AS efficiency, CASE WHEN count(*) {C20} = 20 THEN regr_slope(close, bar_idx) {C20} END AS slope, {roll('hh', 20, 'sum')} AS higher_highs, {roll('ll', 20, 'sum')} AS lower_lows, vol, vol / nullif({roll('vol', 50)}, 0) AS vol_regime, var_5, list_avg(list_filter(last50, lambda x: x <= var_5)) AS cvar_5, (ret < var_5)::INT AS stress, {roll('ret - others', 20, 'sum')} AS strength, CASE WHEN count(ret + others) {C20} = 20 THEN covar_pop(ret, others) {C20} / nullif((stddev_pop(ret) {C20}) * (stddev_pop(others) {C20}), 0) END AS with_others FROM u2)"""
 
 
 @query(sql(CURRENCIES, "SELECT symbol, ts, bar_idx, " + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS {c}" for c in CURRENCY.split()) + " FROM u3", "symbol ts bar_idx", CURRENCY))

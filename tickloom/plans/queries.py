@@ -375,9 +375,9 @@ sg AS (SELECT symbol, bar_idx, line AS signal, dx AS adx, CASE WHEN dx IS NULL T
   UNION ALL SELECT n.symbol, n.bar_idx, f.signal + 0.2 * (n.line - f.signal), {_smooth('f.adx', 'n.dx', '1 / 14.0')}, f.n + CASE WHEN n.dx IS NULL THEN 0 ELSE 1 END FROM sg f JOIN dx n ON n.symbol = f.symbol AND n.bar_idx = f.bar_idx + 1)"""
 
 
-@query(sql(STATE, "SELECT d.symbol, d.ts, d.bar_idx, CASE WHEN d.bar_idx >= 14 AND loss > 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, CASE WHEN d.bar_idx >= 13 THEN tr END AS atr, line AS macd, signal AS macd_signal, CASE WHEN n >= 14 THEN adx END AS adx FROM dx d JOIN sg USING (symbol, bar_idx)", "symbol ts bar_idx", "rsi atr macd macd_signal adx", recursive=True))
+@query(sql(STATE, "SELECT d.symbol, d.ts, d.bar_idx, CASE WHEN d.bar_idx >= 14 AND loss > 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, CASE WHEN d.bar_idx >= 13 THEN tr / 1000 END AS atr, line / 1000 AS macd, signal / 1000 AS macd_signal, CASE WHEN n >= 14 THEN adx END AS adx FROM dx d JOIN sg USING (symbol, bar_idx)", "symbol ts bar_idx", "rsi atr macd macd_signal adx", recursive=True))
 def technical_indicators(spark, d):
-    return X.indicators(D.daily_bars(spark, d))
+    return X.indicators(D.daily_bars(spark, d)).withColumns({c: F.col(c) / 1000 for c in ("atr", "macd", "macd_signal")})
 
 
 @query(sql(BARS, f"SELECT symbol, ts, close / peak - 1 AS drawdown, bar_idx - last_value(CASE WHEN close = peak THEN bar_idx END IGNORE NULLS) {W} AS bars_since_high, CASE WHEN count(ret) OVER q = 50 THEN quantile_cont(ret, 0.05) OVER q END AS var_5 FROM (SELECT *, max(close) {W} AS peak, close / lag(close) {W} - 1 AS ret FROM bars) WINDOW q AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)", "symbol ts bars_since_high", "drawdown var_5"))
@@ -441,7 +441,7 @@ def tick_rule(spark, d):
     return M.tick_rule(_indexed_ticks(spark, d)).select("symbol", "ts", "seq", "tick_rule")
 
 
-@query(sql(RULE, "SELECT symbol, bar_id, sum(price * volume) / sum(volume) AS vwap, avg(volume) AS avg_size, CAST(sum(tick_rule) AS BIGINT) AS tick_rule_sum, sum(tick_rule * volume * dp) / sum(tick_rule * volume * tick_rule * volume) AS kyle_lambda, 1000 * sum(price * volume * abs(r)) / sum((price * volume) ** 2) AS amihud, 1000 * sum(tick_rule * sqrt(price * volume) * abs(r)) / nullif(sum(tick_rule * tick_rule * price * volume), 0) AS hasbrouck, sum(tick_rule * volume * dp) / sum(tick_rule * volume * tick_rule * volume) / sqrt((sum(dp * dp) - sum(tick_rule * volume * dp) ** 2 / sum((tick_rule * volume) ** 2)) / (count(*) - 1) / sum((tick_rule * volume) ** 2)) AS kyle_t FROM tr WHERE dp IS NOT NULL GROUP BY symbol, bar_id", "symbol bar_id tick_rule_sum", "vwap avg_size kyle_lambda amihud hasbrouck kyle_t"))
+@query(sql(RULE, "SELECT symbol, bar_id, sum(price * volume) / sum(volume) AS vwap, avg(volume) AS avg_size, CAST(sum(tick_rule) AS BIGINT) AS tick_rule_sum, sum(tick_rule * volume * dp) / sum(tick_rule * volume * tick_rule * volume) AS kyle_lambda, 1000 * sum(price * volume * abs(r)) / sum((price * volume) ** 2) AS amihud, 1000 * sum(tick_rule * sqrt(price * volume) * abs(r)) / nullif(sum(tick_rule * tick_rule * price * volume), 0) AS hasbrouck, sum(tick_rule * volume * dp) / nullif(sum(tick_rule * volume * tick_rule * volume), 0) / sqrt((sum(dp * dp) - sum(tick_rule * volume * dp) ** 2 / nullif(sum((tick_rule * volume) ** 2), 0)) / nullif(count(*) - 1, 0) / nullif(sum((tick_rule * volume) ** 2), 0)) AS kyle_t FROM tr WHERE dp IS NOT NULL GROUP BY symbol, bar_id", "symbol bar_id tick_rule_sum", "vwap avg_size kyle_lambda amihud hasbrouck kyle_t"))
 def trade_lambdas(spark, d):
     return M.trade_lambdas(_indexed_ticks(spark, d)).select("symbol", "bar_id", "tick_rule_sum", "vwap", "avg_size", "kyle_lambda", (1000 * F.col("amihud_lambda")).alias("amihud"), (1000 * F.col("hasbrouck_lambda")).alias("hasbrouck"), F.col("kyle_t_stat").alias("kyle_t"))
 
@@ -716,12 +716,12 @@ def _labels(spark, d):
     return _bets(spark, d).select("symbol", "t0", "t1")
 
 
-@query(sql(LABELS + ", fd AS (SELECT symbol, fold AS f, min(t0) AS lo, max(t1) AS hi FROM lb GROUP BY ALL)", "SELECT symbol, t0, f AS fold, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS role FROM (SELECT l.*, f.f, f.lo, f.hi, min(CASE WHEN l.t0 > f.hi THEN l.row END) OVER (PARTITION BY l.symbol, f.f) AS fa FROM lb l JOIN fd f ON f.symbol = l.symbol) WHERE fold = f OR t1 < lo OR (t0 > hi AND row >= fa + floor(n * 0.02))", "symbol t0 fold role"))
+@query(sql(LABELS + ", fd AS (SELECT symbol, fold AS f, min(t0) AS lo, max(t1) AS hi FROM lb GROUP BY ALL)", "SELECT symbol, t0, f AS fold, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS role FROM (SELECT l.*, f.f, f.lo, f.hi, min(CASE WHEN l.t0 > f.hi THEN l.row END) OVER (PARTITION BY l.symbol, f.f) AS fa FROM lb l JOIN fd f ON f.symbol = l.symbol) WHERE fold = f OR t1 < lo OR (t0 > hi AND row >= fa + floor(n * 0.02::DOUBLE))", "symbol t0 fold role"))
 def purged_k_fold(spark, d):
     return V.purged_folds(_labels(spark, d), 5, 0.02).select("symbol", "t0", "fold", "role")
 
 
-@query(sql(LABELS, "SELECT symbol, t0, CASE WHEN row >= floor(n * 0.7) + 1 THEN 'test' ELSE 'train' END AS role FROM (SELECT *, min(CASE WHEN row >= floor(n * 0.7) + 1 THEN t0 END) OVER (PARTITION BY symbol) AS lo FROM lb) WHERE row >= floor(n * 0.7) + 1 OR t1 < lo", "symbol t0 role"))
+@query(sql(LABELS, "SELECT symbol, t0, CASE WHEN row >= floor(n * 0.7::DOUBLE) + 1 THEN 'test' ELSE 'train' END AS role FROM (SELECT *, min(CASE WHEN row >= floor(n * 0.7::DOUBLE) + 1 THEN t0 END) OVER (PARTITION BY symbol) AS lo FROM lb) WHERE row >= floor(n * 0.7::DOUBLE) + 1 OR t1 < lo", "symbol t0 role"))
 def purged_split(spark, d):
     return V.purged_split(_labels(spark, d), 0.3).select("symbol", "t0", "role")
 
