@@ -89,3 +89,9 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, side="right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+
+
+def cut(batches, column: str, limit: int = 4 << 20):
+    """The batches in slices of at most ``limit`` bytes of text, or one row."""
+    for b in batches:
+        yield from pieces(b, column, limit)

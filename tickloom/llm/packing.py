@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise, read, text_column
+from tickloom.llm.common import cut, materialise, read, text_column
 from tickloom.llm.encoding import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -55,7 +55,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def _encoding(tokenizer: str, end_id: int, capacity: int):
     def run(batches):
         e = encoder(tokenizer, True)
-        for b in batches:
+        for b in cut(batches, "text"):
             sizes, sums = [], []
             for ids in e.ids(b.column("text").to_pylist()):
                 raw = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, materialise, read, scratch, text_column
+from tickloom.llm.common import cut, discard, materialise, read, scratch, text_column
 from tickloom.llm.encoding import encoder, tokenizer_digest
 
 CACHE = "content binary, n_tokens long, tokenizer string"
@@ -25,7 +25,7 @@ def _normal(text: bytes) -> bytes:
 
 
 def _normals(batches):
-    for b in batches:
+    for b in cut(batches, "text"):
         yield b, [_normal(t) for t in b.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
 
 
@@ -42,7 +42,7 @@ def _texts(batches):
 def _count(path: str):
     def run(batches):
         e = encoder(path, False)
-        for b in batches:
+        for b in cut(batches, "normal"):
             yield pa.record_batch([b.column("content"), pa.array(list(e.counts(b.column("normal").to_pylist())), pa.int64())], ["content", "n_tokens"])
 
     return run

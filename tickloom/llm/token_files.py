@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise, read, scratch, shuffle_partitions, text_column
+from tickloom.llm.common import cut, materialise, read, scratch, shuffle_partitions, text_column
 from tickloom.llm.encoding import encoder
 
 #: Text that a file holds about.
@@ -115,7 +115,7 @@ def _writing(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
         e = encoder(tokenizer, True)
         largest = max(e.library.get_vocab_size(with_added_tokens=True) - 1, end_id)
         writer, first = None, 0
-        for b in batches:
+        for b in cut(batches, "text"):
             if writer is None:
                 writer = SequenceWriter(uri, length, rows, largest, context.taskAttemptId())
             sizes = []
