@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import frame, passage
+from tickloom.llm import toxicity as module
 from tickloom.llm.common import read
 from tickloom.llm.toxicity import Model, features, held_out, op10_toxicity, toxicity, train
 
@@ -69,6 +70,29 @@ def test_training_is_repeatable_and_bounded(spark, fitted):
     assert np.mean([(s >= 0.5) == (k % 4 == 0) for k, s in enumerate(few.scores(texts))]) > 0.9
 
 
+def test_every_labelled_row_is_fitted_to(spark):
+    """All toxic texts lie beyond the first 8,000 labelled rows by digest."""
+    ids = spark.range(12000).withColumnRenamed("id", "doc_id").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas().doc_id.tolist()
+    toxic = set(ids[8000:])
+    assert len(toxic) > 1000
+    df = spark.createDataFrame([(k, f"row{k % 50} of words" + (" dreadful nitwit" if k in toxic else "")) for k in ids], "doc_id long, text string")
+    model = train(df, spark.createDataFrame([(k, 1, int(k in toxic)) for k in ids], "doc_id long, quality int, toxic int"))
+    assert (model.scores(pa.array(["row3 of words", "row3 of words dreadful nitwit"])) >= 0.5).tolist() == [False, True]
+
+
+def test_shards_learn_together(spark, fitted, monkeypatch):
+    df, _, docs = fitted
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(900)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(module, "SHARD_ROWS", 100)
+    model = train(df, labels)
+    texts = pa.array([t for _, t in docs])
+    scores = model.scores(texts)
+    held = [k for k in range(900) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(scores[k] >= 0.5) == (k % 4 == 0) for k in held]) > 0.97
+    monkeypatch.setattr(module, "LABELS_AT_ONCE", 0)  # labels by a shuffle
+    assert np.array_equal(train(df.repartition(5), labels).scores(texts), scores)
+
+
 def test_query(spark, sf_dir):
     rows = op10_toxicity(spark, sf_dir).collect()
     assert len(rows) == read(spark, sf_dir, "documents").count()
