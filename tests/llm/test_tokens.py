@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.cases import ROWS, frame, passage
 from tickloom.llm.common import read, scratch
-from tickloom.llm.encoding import encoder
+from tickloom.llm.encoding import Encoder, encoder
 from tickloom.llm.packing import Tournament, first_fit_decreasing, op5_packing, pack
 from tickloom.llm.token_counts import op1_token_counts, token_counts
 from tickloom.llm.token_files import SequenceReader, op3_token_files, read_sequences, write_sequences
@@ -33,6 +33,25 @@ def test_encoder_equals_the_library(texts):
     assert list(encoder(WORD, False).counts(texts)) == [len(ids(WORD, t)) for t in texts]
 
 
+@pytest.mark.parametrize("path, spaces_matter", [(BYTE, True), (WORD, False)])
+def test_known_pieces_are_looked_up_once(path, spaces_matter):
+    e, asked = Encoder(path, spaces_matter), []
+
+    class Counting(type(e.index)):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    e.index = Counting()
+    known = passage(200, 3)
+    list(e.ids([known]))
+    asked.clear()
+    texts = [f"{known} unheard{k}of {known} zyx" for k in range(3)]
+    assert [x.tolist() for x in e.ids(texts)] == [ids(path, t) for t in texts]
+    pieces = sum(len(t.split()) for t in texts)
+    assert len(asked) < pieces + 20
+
+
 def _table(rows):
     return sorted(map(tuple, rows), key=lambda r: tuple((x is not None, x) for x in r))
 

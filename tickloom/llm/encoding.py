@@ -84,20 +84,20 @@ class Encoder:
         return ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right"), prepend=0)
 
     def _learn(self, new: list[str]) -> None:
-        joined = []
+        keys, parts = [], []
         for key in new:
             piece = key if self.bytes_of is None else key[1:] if key[0] == "\0" else " " + key
             # pieces that don't start with white space, or end with it, can't be told apart once joined
             if self.bytes_of is None or piece[0] <= " " < piece[-1]:
-                joined.append((key, piece))
+                keys.append(key)
+                parts.append(piece)
             else:
                 self.index[key] = np.array(self._library([piece])[0], self.kind).tobytes()
-        for k in range(0, len(joined), 512):
-            keys, part = zip(*joined[k : k + 512], strict=True)
-            ids, n = self._each(list(part))
+        for k in range(0, len(keys), 512):
+            ids, n = self._each(parts[k : k + 512])
             raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
             ends = (np.cumsum(n) * size).tolist()
-            self.index.update(zip(keys, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            self.index.update(zip(keys[k : k + 512], (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         self.chars += sum(map(len, new))
 
     def _coded(self, texts: Iterable[str], group_chars: int = 1 << 20) -> Iterator[bytes]:
@@ -126,8 +126,8 @@ class Encoder:
             if split is None:
                 yield np.array(self._library([text])[0], self.kind).tobytes()
                 continue
-            if partly:
-                got = map(find, split)
+            if partly:  # only pieces that were missing are looked up again
+                got = [find(p) if raw is None else raw for raw, p in zip(got, split, strict=True)]
             yield b"".join(got)
 
     def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
