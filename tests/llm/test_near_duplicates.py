@@ -4,7 +4,7 @@ import re
 import pytest
 
 from tests.llm.cases import ROWS, WORDS, frame, passage
-from tickloom.llm.common import read
+from tickloom.llm.common import materialise, read
 from tickloom.llm.components import components
 from tickloom.llm.near_duplicates import near_duplicates, op2_near_duplicates
 
@@ -90,3 +90,29 @@ def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(0, 50)] + [(100, 70), (70, 200), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(51)} | {100: 70, 70: 70, 200: 70}
+
+
+@pytest.mark.parametrize("file_links", [1 << 18, 8])
+def test_rounds_write_few_files(spark, monkeypatch, file_links):
+    written = []
+
+    def counted(df, what, *args):
+        stored = materialise(df, what, *args)
+        written.append((what, len(stored.inputFiles())))
+        return stored
+
+    for module in ("components", "near_duplicates"):
+        monkeypatch.setattr(f"tickloom.llm.{module}.materialise", counted)
+    monkeypatch.setattr("tickloom.llm.components.FILE_LINKS", file_links)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = near_duplicates(frame(spark, FAMILY), 4, 85, longest=8).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert order(got) == order(brute(FAMILY, 4, 85))
+    most = max(n for what, n in written if what in ("edges", "roots", "pairs", "member-runs"))
+    assert most == 1 if file_links > 8 else most > 1

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import discard, materialise
 
+#: Links that a round writes to one file. Each file costs a local file system a process of its own, so
+#: a round writes as few as its links fill, however many partitions a shuffle has.
+FILE_LINKS = 1 << 18
+
+
+def filled(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` small rows at most, in no more partitions than they fill; only the last step's tasks become fewer."""
+    return df.coalesce(max(1, -(-rows // FILE_LINKS)))
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (larger ones: ``large``; else smaller ones and itself) to its smallest neighbour."""
@@ -23,15 +32,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large and small stars until nothing changes: rounds grow with the logarithm of the
     longest chain, and rows never exceed the links. Each round is written to the shared folder.
+    ``links`` are counted first, so they had better be stored.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    rows, state = links.count(), None
+    edges = materialise(filled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows), "edges")
     while True:
-        before, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialise(filled(_star(_star(edges, True), False), rows), "edges")
         discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        rows, state = now[0], now
     roots = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), "v").distinct())
-    return roots.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    return filled(roots.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), 2 * now[0])

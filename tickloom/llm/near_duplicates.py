@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import discard, materialise, pieces, read, text_column
-from tickloom.llm.components import components
+from tickloom.llm.components import components, filled
 from tickloom.llm.words import Words, mix, windows
 
 _U = np.uint64
@@ -340,18 +340,19 @@ class Join:
         runs = materialise(blobs.groupBy("segment").applyInArrow(_runs(longest), RUNS), "runs")
         sketched = runs.where("uid is not null").select("uid", "n", "sketch")
         self.sizes = sketched.select("uid", "n")
-        near, roots = self._candidates(runs.where("members is not null").select("members").distinct(), sketched)
+        near, roots = self._candidates(runs.where("members is not null").select("members"), sketched)
         self.roots, self.degrees = self._linked(roots, cell, cell_bytes)
         discard(near, roots)
 
-    def _candidates(self, distinct_runs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _candidates(self, all_runs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs that sketches leave possible, as many as it takes to bring all linked sets together, and the components they make."""
-        runs = materialise(distinct_runs.withColumn("run", F.monotonically_increasing_id()), "member-runs")
+        held = all_runs.agg(F.sum(F.size("members"))).first()[0] or 0
+        runs = materialise(filled(all_runs.distinct(), held).withColumn("run", F.monotonically_increasing_id()), "member-runs")
         members = runs.select("run", F.explode("members").alias("uid"), (F.size("members") - 1).alias("others"))
         central = members.groupBy("uid").agg(F.sum("others").alias("central"))
         # all to the most central of each run
         hubs = members.join(central, "uid").groupBy("run").agg(F.max(F.struct("central", (-F.col("uid")).alias("nuid"))).alias("top")).select("run", (-F.col("top.nuid")).alias("hub"))
-        pairs = materialise(members.join(hubs, "run").where("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct(), "pairs")
+        pairs = materialise(filled(members.join(hubs, "run").where("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct(), held), "pairs")
         a, b = (sketched.select(F.col("uid").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}sketch")) for x in "ab")
         near = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "an", "bn", "asketch", "bsketch").mapInArrow(_near(self.percent), "a long, b long"), "near")
         roots = materialise(components(near), "roots")
@@ -361,7 +362,8 @@ class Join:
         left = m.join(several, "run").join(sketched, "uid").select("run", "uid", "root", "n", "sketch")
         more = materialise(left.groupBy("run").applyInArrow(_within(self.percent), "a long, b long").distinct(), "near")
         if not more.isEmpty():
-            whole = materialise(components(near.unionByName(more)), "roots")
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            whole = materialise(components(known.unionByName(more)), "roots")
             discard(roots)
             roots = whole
         discard(runs, pairs, more)
