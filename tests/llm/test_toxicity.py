@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import frame, passage
+from tickloom.llm import encoding
 from tickloom.llm import toxicity as module
 from tickloom.llm.common import read
 from tickloom.llm.toxicity import Model, features, held_out, op10_toxicity, toxicity, train
@@ -97,3 +99,12 @@ def test_query(spark, sf_dir):
     rows = op10_toxicity(spark, sf_dir).collect()
     assert len(rows) == read(spark, sf_dir, "documents").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_scoring_leaves_no_encoder_in_its_worker(fitted):
+    """Caches of a packing stage would stay beside the memory that scoring takes."""
+    _, model, docs = fitted
+    list(encoding.encoder(public_tokenizers.path("byte_bpe_50k.json"), True).ids([docs[0][1]]))
+    batch = pa.record_batch([pa.array([t for _, t in docs[:5]])], ["text"])
+    got = list(module._scoring(model, ["text"], "score")([batch]))
+    assert got[0].column("score").to_pylist() == model.scores(batch.column("text")).tolist() and not encoding._ENCODERS

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from tickloom.llm.common import give_back
+
 PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: What a text that goes to the library whole holds: an opening of special tokens, or white space of other kinds.
 ODD_WORDS = ["<|", *map(chr, range(0x1C, 0x20))]
@@ -54,7 +56,7 @@ class _Index(dict):
 class Encoder:
     """``cache_pieces`` and ``cache_chars`` bound the worker's cache, which starts anew beyond them."""
 
-    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 1_000_000, cache_chars: int = 16 << 20):
+    def __init__(self, path: str, spaces_matter: bool, cache_pieces: int = 500_000, cache_chars: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -147,3 +149,10 @@ def encoder(path: str, spaces_matter: bool) -> Encoder:
     if (path, spaces_matter) not in _ENCODERS:
         _ENCODERS[path, spaces_matter] = Encoder(path, spaces_matter)
     return _ENCODERS[path, spaces_matter]
+
+
+def forget() -> None:
+    """Drops the encoders of this worker process, which other operators have no use for."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        give_back()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, materialise, read, text_column
+from tickloom.llm.common import cut, give_back, materialise, read, text_column
 from tickloom.llm.encoding import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,6 +62,7 @@ def _encoding(tokenizer: str, end_id: int, capacity: int):
                 sizes.append(len(raw))
                 sums.append(np.array([zlib.crc32(raw[k : k + capacity].tobytes()) for k in range(0, len(raw), capacity)], "<u4").tobytes())
             yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], ["doc_id", "n", "sums"])
+        give_back()
 
     return run
 

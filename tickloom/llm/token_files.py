@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, materialise, read, scratch, shuffle_partitions, text_column
+from tickloom.llm.common import cut, give_back, materialise, read, scratch, shuffle_partitions, text_column
 from tickloom.llm.encoding import encoder
 
 #: Text that a file holds about.
@@ -127,6 +127,7 @@ def _writing(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
             first = int(ends[-1]) if len(sizes) else first
         if writer is not None:
             writer.close()
+        give_back()
 
     return run
 

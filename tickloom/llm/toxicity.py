@@ -23,7 +23,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, pieces, read, text_column
+from tickloom.llm.common import cut, give_back, pieces, read, text_column
+from tickloom.llm.encoding import forget
 from tickloom.llm.words import NO_LETTER, Words, family, mix
 
 # Frequent function words of the languages that thresholds are told apart for.
@@ -246,9 +247,11 @@ def _over_shards(data: DataFrame, work: Callable[[int, Iterator[list]], np.ndarr
     """The sum, in the order of the shards, of the vectors that ``work`` makes of the chunks of each; empty without rows."""
 
     def run(batches):
+        forget()
         for shard, chunks in groupby(_chunks(batches), key=lambda c: c[0]):
             for k, part in enumerate(np.array_split(work(shard, (held for _, held in chunks)), SLICES)):
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([shard], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["slice", "shard", "part"])
+        give_back()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -335,6 +338,7 @@ def _labelled(texts: DataFrame, own: DataFrame, n: int) -> DataFrame:
     ids, toxic = table.column("doc_id").to_numpy(), table.column("toxic").to_numpy().astype(np.int8)
 
     def run(batches):
+        forget()
         for b in batches:
             wanted = b.column("doc_id").to_numpy()
             at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
@@ -398,6 +402,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, max_w
         data.unpersist()
 
 
+def _scoring(model: Model, names: list[str], column: str):
+    def run(batches):
+        forget()
+        for b in batches:
+            for part in pieces(b, "text", 1 << 20):
+                yield pa.record_batch([*part.columns, pa.array(model.scores(part.column("text")))], [*names, column])
+        give_back()
+
+    return run
+
+
 def toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with a score of each whole text from 0 to 1; from 0.5 on it counts as toxic.
 
@@ -408,13 +423,7 @@ def toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     kept = docs.drop(column)
     names = kept.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{column}` double"
-
-    def run(batches):
-        for b in batches:
-            for part in pieces(b, "text", 1 << 20):
-                yield pa.record_batch([*part.columns, pa.array(model.scores(part.column("text")))], [*names, column])
-
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(_scoring(model, names, column), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
