@@ -52,6 +52,33 @@ def test_known_pieces_are_looked_up_once(path, spaces_matter):
     assert len(asked) < pieces + 20
 
 
+@pytest.mark.parametrize("path, spaces_matter", [(BYTE, True), (WORD, False)])
+def test_equal_pieces_of_a_group_are_looked_up_once(path, spaces_matter):
+    e, asked = Encoder(path, spaces_matter), []
+
+    class Counting(type(e.index)):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    e.index = Counting()
+    texts = [passage(200, 3)] * 50
+    assert [x.tolist() for x in e.ids(texts)] == [ids(path, t) for t in texts]
+    assert len(asked) <= 2 * len(set(texts[0].split())) + 2
+
+
+def test_letters_and_signs_are_cut_as_the_library_does():
+    texts = [t for c in map(chr, range(0x21, 0x370)) for t in (f"a{c} {c}a {c} a{c}. a.{c} {c}{c}a", f"x{c}'s ab{c}!? {c}...", f" {c}1 a\n{c} É{c},")]
+    assert [x.tolist() for x in Encoder(BYTE, True).ids(texts)] == [ids(BYTE, t) for t in texts]
+
+
+def test_a_small_cache_starts_anew():
+    texts = [passage(300, k) + f" only{k} here{k}." for k in range(40)]
+    e = Encoder(BYTE, True, cache_pieces=50, cache_chars=200)
+    assert [x.tolist() for t in texts for x in e.ids([t])] == [ids(BYTE, t) for t in texts]
+    assert len(e.index) < 700
+
+
 def _table(rows):
     return sorted(map(tuple, rows), key=lambda r: tuple((x is not None, x) for x in r))
 
