@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.cases import ROWS, frame, passage
+from tickloom.llm import packing
 from tickloom.llm.common import read, scratch
 from tickloom.llm.encoding import Encoder, encoder
 from tickloom.llm.packing import Tournament, first_fit_decreasing, op5_packing, pack
@@ -169,6 +170,26 @@ def test_packing_with_odd_rows(spark):
     assert pack(frame(spark, ROWS[:0]), BYTE).count() == 0
 
 
+def test_packing_looks_equal_pieces_up_once(monkeypatch):
+    e, asked = Encoder(BYTE, True), []
+
+    class Counting(type(e.index)):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    e.index = Counting()
+    monkeypatch.setattr(packing, "encoder", lambda *_: e)
+    text = " ".join(f"{w}{s}" for w in ("rain", "fell", "over") for s in ("", ".", ",", "!?")) + " rain" * 2000
+    batch = pa.record_batch([pa.array(range(30), pa.int64()), pa.array([text] * 30)], ["doc_id", "text"])
+    (got,) = packing._encoding(BYTE, 0, 1024)([batch])
+    x = [*ids(BYTE, text), 0]
+    want = np.array([_crc(x[k : k + 1024]) for k in range(0, len(x), 1024)], "<u4").tobytes()
+    assert got.column("n").to_pylist() == [len(x)] * 30 and got.column("sums").to_pylist() == [want] * 30
+    assert len(asked) <= 2 * len(set(text.split())) + 2
+    assert "rain" in e.index and "rain." not in e.index  # made of its word and its sign
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_tournament_is_first_fit(seed):
     sizes = np.random.default_rng(seed).integers(0, 100, 200)
