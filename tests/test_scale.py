@@ -23,3 +23,12 @@ def test_nearest_across_hours(spark):
     got = sampling.nearest(marks, ticks(spark, HOURS))
     assert "unboundedfollowing" not in plan(got)
     assert [r.bar_idx for r in got.orderBy("i0").collect()] == [0, 0, 2, 2, 3, 3, 5, 5]
+
+
+def test_barriers_in_time_across_hours(spark):
+    bars = ticks(spark, HOURS)
+    events = bars.select("symbol", F.col("bar_idx").alias("i0"), F.col("ts").alias("t0"))
+    got = sampling.vertical_barriers(events, bars, interval="4 hours")
+    assert "unboundedfollowing" not in plan(got)
+    assert [r.i1 for r in got.orderBy("i0").collect()] == [3, 3, 3, 5, 5, None]
+    assert got.columns == ["symbol", "i0", "t0", "i1", "t1"]
