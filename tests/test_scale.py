@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import sampling
+from tickloom.operators import microstructure, sampling
 
 
 def plan(df) -> str:
@@ -32,3 +32,15 @@ def test_barriers_in_time_across_hours(spark):
     assert "unboundedfollowing" not in plan(got)
     assert [r.i1 for r in got.orderBy("i0").collect()] == [3, 3, 3, 5, 5, None]
     assert got.columns == ["symbol", "i0", "t0", "i1", "t1"]
+
+
+def test_word_entropy_needs_no_message(spark):
+    prices = [100 + (7 * k * k + k) % 11 for k in range(400)]
+    rows = spark.createDataFrame([(s, k, float(p)) for s, n in (("P", 400), ("Q", 3), ("R", 4)) for k, p in enumerate(prices[:n])], "symbol string, bar_idx long, price double")
+    letters = microstructure.tick_letters(rows)
+    got = microstructure.word_entropy(letters, 3)
+    assert "collect_list" not in plan(got)
+    of_messages = microstructure.plug_in_entropy(microstructure.encode_tick_rule(rows), 3)
+    assert "substring" not in plan(of_messages)
+    a, b = ({r.symbol: round(r.plug_in, 9) for r in x.collect()} for x in (got, of_messages))
+    assert a == b and set(a) == {"P", "R"} and a["R"] == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,10 +81,23 @@ def shannon_entropy(messages: DataFrame, text: str = "message") -> DataFrame:
 
 def plug_in_entropy(messages: DataFrame, length: int, text: str = "message") -> DataFrame:
     """Bits a letter of words of ``length``; the last word is not counted."""
-    words = F.transform(F.sequence(F.lit(1), F.length(text) - length), lambda i: F.substring(F.col(text), i, F.lit(length)))
-    counts = messages.where(F.length(text) > length).select(SYMBOL, F.explode(words).alias("w")).groupBy(SYMBOL, "w").agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(SYMBOL))
-    return counts.withColumn("p", p).groupBy(SYMBOL).agg((-F.sum(F.col("p") * F.log2("p")) / length).alias("plug_in"))
+
+    def count(batches):
+        for pdf in batches:
+            for symbol, m in zip(pdf[SYMBOL], pdf[text], strict=True):
+                found = Counter(m[i : i + length] for i in range(len(m or "") - length))
+                if found:
+                    yield pd.DataFrame({SYMBOL: symbol, "code": list(found), "n": list(found.values())})
+
+    counts = messages.select(SYMBOL, text).mapInPandas(count, f"{SYMBOL} string, code string, n long")
+    return _bits(counts.groupBy(SYMBOL, "code").agg(F.sum("n").alias("n")), [SYMBOL], "plug_in").withColumn("plug_in", F.col("plug_in") / length)
+
+
+def word_entropy(letters: DataFrame, length: int) -> DataFrame:
+    """:func:`plug_in_entropy` of the letters ``c`` of each symbol in order, without making a message of them."""
+    ahead = [F.lead("c", k).over(series()) for k in range(1, length + 1)]
+    words = letters.select(SYMBOL, F.concat("c", *ahead[:-1]).alias("code"), ahead[-1].alias("next")).where("next is not null")
+    return code_entropy(words, [SYMBOL], "plug_in").withColumn("plug_in", F.col("plug_in") / length)
 
 
 def lempel_ziv(message: str) -> float:
@@ -123,10 +137,15 @@ def message_entropies(messages: DataFrame, text: str = "message") -> DataFrame:
     return messages.select(SYMBOL, text).mapInPandas(run, f"{SYMBOL} string, lempel_ziv double, konto double")
 
 
+def tick_letters(ticks: DataFrame) -> DataFrame:
+    """``symbol, bar_idx, c``: a letter a tick, b, s, or n before any."""
+    c = F.when(F.col("tick_rule") > 0, "b").when(F.col("tick_rule") < 0, "s").otherwise("n")
+    return tick_rule(ticks.select(SYMBOL, IDX, "price")).select(SYMBOL, IDX, c.alias("c"))
+
+
 def encode_tick_rule(ticks: DataFrame) -> DataFrame:
-    """A letter a tick (b, s, or n before any), joined by symbol in order."""
-    t = tick_rule(ticks).withColumn("c", F.when(F.col("tick_rule") > 0, "b").when(F.col("tick_rule") < 0, "s").otherwise("n"))
-    return t.groupBy(SYMBOL).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(IDX, "c"))), lambda x: x["c"]), "").alias("message"))
+    """The letters joined by symbol in order: one value a symbol, for short series."""
+    return tick_letters(ticks).groupBy(SYMBOL).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(IDX, "c"))), lambda x: x["c"]), "").alias("message"))
 
 
 def quantile_codes(df: DataFrame, value: str, letters: int) -> DataFrame:
@@ -148,7 +167,10 @@ def nearest_codes(value: Column, levels: list[float]) -> Column:
 
 def code_entropy(codes: DataFrame, by: list[str], name: str) -> DataFrame:
     """Bits of the codes within each group."""
-    counts = codes.groupBy(*by, "code").agg(F.count("*").alias("n"))
+    return _bits(codes.groupBy(*by, "code").agg(F.count("*").alias("n")), by, name)
+
+
+def _bits(counts: DataFrame, by: list[str], name: str) -> DataFrame:
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
     return counts.withColumn("p", p).groupBy(*by).agg((-F.sum(F.col("p") * F.log2("p"))).alias(name))
 
