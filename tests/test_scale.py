@@ -1,8 +1,10 @@
 """Steps whose cost grows no faster than their rows; results where blocks meet."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tickloom.operators import microstructure, sampling
+from tickloom.operators import microstructure, sampling, simulation
 
 
 def plan(df) -> str:
@@ -44,3 +46,50 @@ def test_word_entropy_needs_no_message(spark):
     assert "substring" not in plan(of_messages)
     a, b = ({r.symbol: round(r.plug_in, 9) for r in x.collect()} for x in (got, of_messages))
     assert a == b and set(a) == {"P", "R"} and a["R"] == 0
+
+
+def _walk(spark, n: int):
+    close = np.exp(np.cumsum(np.random.default_rng(5).normal(0, 0.01, n)))
+    return close, spark.createDataFrame(pd.DataFrame({"symbol": "P", "bar_idx": np.arange(n), "close": close})).withColumn("ts", F.timestamp_seconds("bar_idx"))
+
+
+def test_touches_over_blocks(spark):
+    n = 70_000  # three blocks
+    close, bars = _walk(spark, n)
+    rows = [(i0, [i0 + 20, i0 + 30_000, None][k % 3], [0.05, 0.5, 3.0][k // 3 % 3], 1 - 2 * (k % 2)) for k, i0 in enumerate(range(3, n, 997))]
+    rows = [(a, b if b is None or b < n else None, t, s) for a, b, t, s in rows]
+    events = spark.createDataFrame([("P", *r) for r in rows], "symbol string, i0 long, i1 long, trgt double, side int").withColumn("t0", F.timestamp_seconds("i0"))
+    out = sampling.triple_barrier_events(events, bars, 1.0, 0.5)
+    assert "sequence(" not in plan(out)
+    want = {}
+    for a, b, t, s in rows:
+        r = (close[a + 1 : (n - 1 if b is None else b) + 1] / close[a] - 1) * s
+        hit = np.flatnonzero((r >= t) | (r <= -0.5 * t))
+        if len(hit):
+            want[a] = (a + 1 + int(hit[0]), "sl" if r[hit[0]] <= -0.5 * t else "pt")
+        elif b is not None:
+            want[a] = (b, "vertical")
+    got = {r.i0: (r.hit_idx, r.barrier) for r in out.collect()}
+    assert got == want and {b for _, b in want.values()} == {"sl", "pt", "vertical"} and any(a // 32_768 < h // 32_768 for a, (h, _) in want.items())
+
+
+def test_rules_without_paths(spark):
+    close, bars = _walk(spark, 300)
+    entries = bars.select("symbol", F.col("bar_idx").alias("i0"), F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1).alias("side"))
+    out = simulation.trading_rule_grid(entries, bars, [(0.02, 0.01), (0.5, 0.03)], 20)
+    assert "sequence(" not in plan(out)
+    got = {(r.i0, r.pt): r.ret for r in out.collect()}
+    want = {}
+    for a in range(299):
+        r = (close[a + 1 : a + 21] / close[a] - 1) * (1 if a % 2 == 0 else -1)
+        for pt, sl in ((0.02, 0.01), (0.5, 0.03)):
+            hit = np.flatnonzero((r >= pt) | (r <= -sl))
+            want[a, pt] = float(r[-1]) if not len(hit) else pt if r[hit[0]] >= pt else -sl
+    assert got == want
+
+
+def test_rare_classes(spark):
+    labels = spark.createDataFrame([(b,) for b, n in ((0, 2), (1, 3), (2, 60), (-1, 40)) for _ in range(n)], "bin int")
+    kept = sampling.drop_labels(labels)
+    assert {r.bin: r["count"] for r in kept.groupBy("bin").count().collect()} == {2: 60, -1: 40}
+    assert sampling.drop_labels(labels, 0.025).groupBy("bin").count().count() == 3
