@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.keys import IDX, SYMBOL, series
+from tickloom.operators.touches import first_touches
 
 
 def backtest(bars: DataFrame, cost: float = 0.0) -> DataFrame:
@@ -84,15 +85,15 @@ def best_barriers(grid: DataFrame) -> DataFrame:
 def trading_rule_grid(entries: DataFrame, bars: DataFrame, rules: list[tuple[float, float]], max_hold: int) -> DataFrame:
     """Trades of each rule (profit and stop as shares, filled at the level) from each entry ``symbol, i0, side``.
 
-    Entries are laid over their next ``max_hold`` bars once; rules are columns of the same aggregation.
+    Each rule's search is :func:`first_touches`; a trade that reaches neither level ends with its last bar.
     """
-    p0 = bars.select(SYMBOL, F.col(IDX).alias("i0"), F.col("close").alias("p0"))
-    path = entries.join(p0, [SYMBOL, "i0"]).select(SYMBOL, "i0", "side", "p0", F.explode(F.sequence(F.col("i0") + 1, F.col("i0") + max_hold)).alias(IDX)).join(bars.select(SYMBOL, IDX, "close"), [SYMBOL, IDX])
-    path = path.withColumn("r", (F.col("close") / F.col("p0") - 1) * F.col("side"))
-    firsts = [a for k, (pt, sl) in enumerate(rules) for a in (F.min(F.when(F.col("r") >= pt, F.col(IDX))).alias(f"u{k}"), F.min(F.when(F.col("r") <= -sl, F.col(IDX))).alias(f"d{k}"))]
-    g = path.groupBy(SYMBOL, "i0").agg(F.max_by("r", IDX).alias("last"), *firsts)
-    cases = [F.struct(F.lit(float(pt)).alias("pt"), F.lit(float(sl)).alias("sl"), F.when(F.col(f"u{k}").isNotNull() & (F.col(f"d{k}").isNull() | (F.col(f"u{k}") < F.col(f"d{k}"))), float(pt)).when(F.col(f"d{k}").isNotNull(), -float(sl)).otherwise(F.col("last")).alias("ret")) for k, (pt, sl) in enumerate(rules)]
-    return g.select(SYMBOL, "i0", F.explode(F.array(*cases)).alias("x")).select(SYMBOL, "i0", "x.*")
+    last = bars.groupBy(SYMBOL).agg(F.max(IDX).alias("last"))
+    ends = bars.select(SYMBOL, F.col(IDX).alias("end"), F.col("close").alias("p1"))
+    spans = entries.select(SYMBOL, "i0", "side").join(F.broadcast(last), SYMBOL).withColumn("end", F.least(F.col("i0") + max_hold, "last")).where("end > i0").drop("last").join(ends, [SYMBOL, "end"])  # a row a symbol
+    of_rules = F.explode(F.array(*(F.struct(F.lit(float(pt)).alias("pt"), F.lit(float(sl)).alias("sl")) for pt, sl in rules)))
+    trades = spans.withColumn("rule", of_rules).select(SYMBOL, "i0", "end", "side", "p1", "rule.*").withColumns({"up": F.col("pt"), "down": -F.col("sl")})
+    ret = F.when(F.col("touch_idx").isNull(), (F.col("p1") / F.col("p0") - 1) * F.col("side")).when(F.col("falls"), -F.col("sl")).otherwise(F.col("pt"))
+    return first_touches(trades, bars).where("p0 is not null").select(SYMBOL, "i0", "pt", "sl", ret.alias("ret"))
 
 
 def rule_scores(rule_trades: DataFrame) -> DataFrame:
