@@ -83,15 +83,20 @@ def hyper_fit(data: DataFrame, folds: DataFrame, features: list[str], candidates
     """
     from pyspark.ml.feature import VectorAssembler
 
-    found = None
-    for name, estimator in candidates.items():
-        score = -F.col("log_loss") if scoring == "log_loss" else F.col(scoring)
-        part = cross_validate(data, folds, features, estimator).select(F.lit(name).alias("candidate"), "fold", F.coalesce(score, F.lit(float("-inf") if scoring == "log_loss" else 0.0)).alias("score"))
-        found = part if found is None else found.unionByName(part)
-    rows = found.toPandas()  # candidates times folds
-    best = rows.groupby("candidate", sort=False)["score"].mean().idxmax()
-    whole = VectorAssembler(inputCols=features, outputCol="features").transform(data.withColumn("label", F.col("y").cast("double")))
-    return data.sparkSession.createDataFrame(rows, "candidate string, fold int, score double"), candidates[best].fit(whole)
+    data, folds = data.persist(), folds.persist()  # read once for all fits
+    try:
+        found = None
+        for name, estimator in candidates.items():
+            score = -F.col("log_loss") if scoring == "log_loss" else F.col(scoring)
+            part = cross_validate(data, folds, features, estimator).select(F.lit(name).alias("candidate"), "fold", F.coalesce(score, F.lit(float("-inf") if scoring == "log_loss" else 0.0)).alias("score"))
+            found = part if found is None else found.unionByName(part)
+        rows = found.toPandas()  # candidates times folds
+        best = rows.groupby("candidate", sort=False)["score"].mean().idxmax()
+        whole = VectorAssembler(inputCols=features, outputCol="features").transform(data.withColumn("label", F.col("y").cast("double")))
+        return data.sparkSession.createDataFrame(rows, "candidate string, fold int, score double"), candidates[best].fit(whole)
+    finally:
+        data.unpersist()
+        folds.unpersist()
 
 
 def numbered(data: DataFrame) -> DataFrame:
