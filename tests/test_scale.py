@@ -2,9 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
-from tickloom.operators import microstructure, sampling, simulation
+from tickloom.operators import learning, matrices, microstructure, sampling, simulation, validation, volatility
 
 
 def plan(df) -> str:
@@ -93,3 +95,71 @@ def test_rare_classes(spark):
     kept = sampling.drop_labels(labels)
     assert {r.bin: r["count"] for r in kept.groupBy("bin").count().collect()} == {2: 60, -1: 40}
     assert sampling.drop_labels(labels, 0.025).groupBy("bin").count().count() == 3
+
+
+def test_fits_read_their_rows_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        reads.add(1)
+        return x
+
+    n = 60
+    data = spark.range(n).select(F.lit("P").alias("symbol"), F.timestamp_seconds("id").alias("t0"), F.timestamp_seconds(F.col("id") + 1).alias("t1"), (F.col("id") % 2).cast("int").alias("y"), F.lit(1.0).alias("weight"), F.udf(seen, "double")((F.col("id") * 7 % 11).cast("double")).alias("x"))
+    folds = validation.purged_folds(data.select("symbol", "t0", "t1"), 3)
+    assert validation.cross_validate(data, folds, ["x"]).count() == 3
+    assert reads.value == n
+    trees = {str(k): DecisionTreeClassifier(maxDepth=k, weightCol="weight", seed=1) for k in (1, 2)}
+    assert learning.hyper_fit(data, folds, ["x"], trees)[0].count() == 6
+    assert reads.value == 2 * n
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cusum_over_batches(spark, small_batches):
+    close, bars = _walk(spark, 500)
+    got = sampling.cusum_filter(bars.unionByName(bars.withColumn("symbol", F.lit("Q"))), 0.02)
+    assert "flatmapgroupsinpandas" not in plan(got)
+    want, up, down = [], 0.0, 0.0
+    for i, r in enumerate(np.diff(np.log(close)), 1):
+        up, down = max(0.0, up + r), min(0.0, down + r)
+        if down < -0.02:
+            down, want = 0.0, [*want, (i, -1)]
+        elif up > 0.02:
+            up, want = 0.0, [*want, (i, 1)]
+    for symbol in "PQ":
+        assert [(r.bar_idx, r.direction) for r in got.where(F.col("symbol") == symbol).orderBy("bar_idx").collect()] == want
+
+
+def test_ewm_over_batches_and_beyond_weights(spark, small_batches):
+    x = pd.Series(np.random.default_rng(2).normal(0, 1, 300))
+    x[[0, 5, 6]] = None
+    rows = spark.createDataFrame([("P", k, None if v != v else float(v)) for k, v in enumerate(x)], "symbol string, bar_idx long, x double")
+    for what in ("mean", "std"):
+        out = volatility.ewm(rows, "x", 10, "out", what)
+        assert "flatmapgroupsinpandas" not in plan(out)
+        got = [r.out for r in out.orderBy("bar_idx").collect()]
+        want = getattr(x.ewm(span=10), what)()
+        assert [None if v != v else round(v, 9) for v in want] == [None if v is None else round(v, 9) for v in got]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    long = spark.range(40_000).select(F.lit("P").alias("symbol"), F.col("id").alias("bar_idx"), (F.col("id") % 2).cast("double").alias("x"))
+    last = volatility.ewm(long, "x", 100, "out", "std").where("bar_idx = 39999").first().out
+    assert last == pytest.approx(pd.Series(np.arange(4000) % 2.0).ewm(span=100).std().iloc[-1], abs=1e-9)
+
+
+def test_time_matrix_in_one_pass(spark, small_batches):
+    _, bars = _walk(spark, 400)
+    bars = bars.withColumn("ts", F.timestamp_seconds(F.col("bar_idx") * 2700 + F.col("bar_idx") * F.col("bar_idx") % 60))
+    out = matrices.time_matrix(bars, 1, durations=True, window=20)
+    assert "window [" not in plan(out)
+    d = out.toPandas().sort_values("bar_idx", ignore_index=True)
+    r, t = np.log(d["close"]).diff(), d["ts"].astype("datetime64[us]").astype("int64").diff() / 1e6
+    pd.testing.assert_series_equal(d["bar_duration_change"], t.diff(), check_names=False)
+    for c in [c[:-4] for c in d.columns if c.endswith("_vol")]:
+        want = r[d[c] == 1].rolling(20, min_periods=2).std().reindex(d.index).ffill()
+        pd.testing.assert_series_equal(d[f"{c}_vol"].astype(float), want, check_names=False)

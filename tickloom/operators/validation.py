@@ -158,20 +158,29 @@ def platt(scored: DataFrame, regularisation: float = 0.0) -> DataFrame:
 
 
 def cross_validate(data: DataFrame, folds: DataFrame, features: list[str], estimator=None) -> DataFrame:
-    """Scores of a Spark ML classifier on each purged fold; ``data(symbol, t0, y, weight, features...)``."""
+    """Scores of a Spark ML classifier on each purged fold; ``data(symbol, t0, y, weight, features...)``.
+
+    Rows and folds are made once and kept for all fits, whose scores, a row a fold, come to the driver.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     estimator = estimator or LogisticRegression(weightCol="weight")
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(data.withColumn("label", F.col("y").cast("double")))
-    out = None
-    for r in folds.select("fold").distinct().orderBy("fold").collect():  # one row a fold
-        own = rows.join(folds.where(F.col("fold") == r["fold"]).select(SYMBOL, "t0", "role"), [SYMBOL, "t0"])
-        scored = estimator.fit(own.where("role = 'train'")).transform(own.where("role = 'test'")).withColumn("p", vector_to_array("probability")[1])
-        part = weighted_scores(scored).withColumn("fold", F.lit(r["fold"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+    folds = folds.select(SYMBOL, "t0", "fold", "role").persist()
+    rows = rows.join(folds, [SYMBOL, "t0"]).persist()
+    try:
+        found = []
+        for r in folds.select("fold").distinct().orderBy("fold").collect():  # one row a fold
+            own = rows.where(F.col("fold") == r["fold"]).drop("fold")
+            scored = estimator.fit(own.where("role = 'train'")).transform(own.where("role = 'test'")).withColumn("p", vector_to_array("probability")[1])
+            part = weighted_scores(scored).withColumn("fold", F.lit(r["fold"]))
+            found.append(part.first())
+    finally:
+        rows.unpersist()
+        folds.unpersist()
+    return data.sparkSession.createDataFrame(found, part.schema) if found else None
 
 
 def bootstrap_reliability(scored: DataFrame, rounds: int = 200, bins: int = 10, seed: int = 3) -> DataFrame:
