@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.keys import IDX, SYMBOL, full, series, trailing
+from tickloom.keys import IDX, SYMBOL, folded, full, series, trailing
 
 
 def period_returns(bars: DataFrame, interval: str = "1 day") -> DataFrame:
@@ -17,16 +17,28 @@ def period_returns(bars: DataFrame, interval: str = "1 day") -> DataFrame:
 
 
 def ewm(df: DataFrame, value: str, span: float, out: str, what: str = "mean", order: str = IDX) -> DataFrame:
-    """Exponentially weighted mean or deviation (adjusted, unbiased), one task a symbol."""
+    """Exponentially weighted mean or deviation (adjusted, unbiased) as pandas has it, one task a symbol, folded batch by batch."""
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        e = pdf[value].astype(float).ewm(span=span)
-        got = e.mean() if what == "mean" else e.std()
-        return pdf.assign(**{out: got.astype(object).where(got.notna(), None)})
-
-    return df.groupBy(SYMBOL).applyInPandas(run, schema)
+    f = 1 - 2 / (span + 1)
+
+    def step(pdf: pd.DataFrame, state):
+        mean, cov, weight, squares = state or (math.nan, 0.0, 0.0, 0.0)
+        got = []
+        for x in pdf[value].astype(float).tolist():
+            weight, squares = weight * f, squares * f * f
+            if x == x:
+                old = mean if mean == mean else x
+                mean = (weight * old + x) / (weight + 1) if old != x else x
+                cov = (weight * (cov + (old - mean) ** 2) + (x - mean) ** 2) / (weight + 1)
+                weight, squares = weight + 1, squares + 1
+            if what == "mean":
+                got.append(mean if mean == mean else None)
+            else:
+                free = weight * weight - squares
+                got.append(math.sqrt(weight * weight / free * cov) if free > 0 else None)
+        return pdf.assign(**{out: pd.Series(got, index=pdf.index, dtype=object)}), (mean, cov, weight, squares)
+
+    return folded(df, step, schema, order)
 
 
 def period_volatility(bars: DataFrame, interval: str = "1 day", lookback: int = 100) -> DataFrame:
