@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.keys import IDX, SYMBOL, full, ratio, series, trailing
+from tickloom.keys import IDX, SYMBOL, folded, full, ratio, series, trailing
 from tickloom.operators import features as X
 from tickloom.operators import volatility as R
 
@@ -58,19 +60,49 @@ def fractal_matrix(bars: DataFrame, n: int = 2, least: float = 0.001, lookback:
 
 def time_matrix(bars: DataFrame, terms: int = 3, durations: bool = False, forex: bool = True, window: int = 20) -> DataFrame:
     """Cycles of the calendar; with ``durations`` the seconds since the bar before and their change; with ``forex`` session flags and, for each, the deviation of the last ``window`` returns inside it."""
-    d = X.cyclical(bars, terms)
-    if durations:
-        seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-        d = d.withColumn("bar_duration", seconds - F.lag(seconds).over(series()))
-        d = d.withColumn("bar_duration_change", F.col("bar_duration") - F.lag("bar_duration").over(series()))
-    if not forex:
-        return d
-    before = set(d.columns)
-    d = X.sessions(d).withColumn("r", F.ln("close") - F.lag(F.ln("close")).over(series()))
-    flags = [c for c in d.columns if c not in before and c != "r"]
-    inside = {f"{c}_now": F.when(F.col(c) == 1, F.struct(F.stddev_samp("r").over(Window.partitionBy(SYMBOL, c).orderBy(IDX).rowsBetween(-(window - 1), 0)).alias("v"))) for c in flags}
-    d = d.withColumns(inside)
-    return d.withColumns({f"{c}_vol": F.last(f"{c}_now", ignorenulls=True).over(series())["v"] for c in flags}).drop("r", *inside)
+    cycles = [c for c in X.cyclical(bars, terms).columns if c not in bars.columns]
+    flags = [c for c in X.sessions(bars).columns if c not in bars.columns] if forex else []
+    spans = ["bar_duration", "bar_duration_change"] if durations else []
+    vols = [f"{c}_vol" for c in flags]
+    d = X.sessions(bars) if forex else bars
+    if spans or flags:
+        d = _in_order(d, flags, spans, vols, window)
+    return X.cyclical(d, terms).select(*bars.columns, *cycles, *spans, *flags, *vols)
+
+
+def _in_order(bars: DataFrame, flags: list[str], spans: list[str], vols: list[str], window: int) -> DataFrame:
+    """What :func:`time_matrix` takes from bars before, in one pass over each symbol, batch by batch: a symbol is only sorted, in narrow rows."""
+    d = bars.withColumns({"_s": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "_l": F.ln("close") if flags else F.lit(0.0)})
+
+    def change(x: np.ndarray, before: float) -> np.ndarray:
+        return np.diff(x, prepend=before)
+
+    def deviations(x: np.ndarray) -> np.ndarray:
+        """Of each window of ``x``, over its values that are there; none from under two."""
+        w = np.lib.stride_tricks.sliding_window_view(x, window)
+        there = ~np.isnan(w)
+        n = there.sum(axis=1)
+        mean = np.where(there, w, 0.0).sum(axis=1) / np.maximum(n, 1)
+        squares = np.where(there, (w - mean[:, None]) ** 2, 0.0).sum(axis=1)
+        return np.where(n > 1, np.sqrt(squares / np.maximum(n - 1, 1)), np.nan)
+
+    def step(pdf: pd.DataFrame, state):
+        s0, t0, l0, own = state or (np.nan, np.nan, np.nan, {c: (np.full(window - 1, np.nan), np.nan) for c in flags})
+        s, log = pdf["_s"].to_numpy(float), pdf["_l"].to_numpy(float)
+        t = change(s, s0)
+        made = dict(zip(spans, (t, change(t, t0)), strict=False))
+        r, own = change(log, l0), dict(own)
+        for c, name in zip(flags, vols, strict=True):
+            past, carried = own[c]
+            inside = pdf[c].to_numpy(float) == 1
+            past = np.concatenate([past, r[inside]])
+            v = np.concatenate([[carried], deviations(past) if inside.any() else []])
+            made[name] = v[np.cumsum(inside)]
+            own[c] = (past[len(past) - (window - 1) :], v[-1])
+        return pdf.drop(columns=["_s", "_l"]).assign(**made), (s[-1], t[-1], log[-1], own)
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in bars.dtypes), *(f"`{n}` double" for n in [*spans, *vols])])
+    return folded(d, step, schema)
 
 
 def band_matrix(bars: DataFrame, window: int = 20, width: float = 2.0, averages: tuple[int, ...] = (10, 20, 50, 100, 200), lags: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
